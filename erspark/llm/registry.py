@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from erspark.llm import decontaminate, html_text, language_id, license_scan, packing, pii, quality_rules, secret_scan, simhash_dedup
+from erspark.llm import decontaminate, html_text, language_id, license_scan, packing, pii, quality_rules, secret_scan, simhash_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_pii": pii.op9_pii,
     "op10_html_text": html_text.op10_html_text,
 }
