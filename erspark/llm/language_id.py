@@ -161,6 +161,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     return df.mapInArrow(run, f"{fields}lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, whose language the model tells; ``und`` goes."""
+    own = docs.withColumns({"__doc": F.struct(*docs.columns), "__body": empty_texts(docs, text)}).select("__doc", "__body")
+    return predict(own, model, "__body").where("lang_pred <> 'und'").select("__doc.*")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

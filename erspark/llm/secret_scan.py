@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,33 @@ def join_back(versions: DataFrame, found: DataFrame, text: str = "text") -> Data
     return keyed.join(found.select("blob_id", "findings"), "blob_id", "left")
 
 
+def redacted(text: str, findings: list[dict], mark: str = "<secret>") -> str:
+    """The text with each run of overlapping or touching findings replaced by ``mark``."""
+    out, at = [], 0
+    for f in sorted(findings, key=lambda f: (f["start"], -f["end"])):
+        if f["start"] > at or not out:
+            out += [text[at : f["start"]], mark]
+        at = max(at, f["end"])
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with every secret in its texts replaced; documents without one, null texts too, stay as they are."""
+    found = scan_blobs(docs, ledger, text=text)
+    if ledger is not None:
+        found = current(ledger.select("blob_id", "findings").unionByName(found.select("blob_id", "findings")))
+    some = found.where(F.size("findings") > 0)
+    joined = join_back(docs, some, text)
+
+    @F.pandas_udf("string")
+    def hide(texts: pd.Series, findings: pd.Series) -> pd.Series:
+        return pd.Series([redacted(t, list(f)) for t, f in zip(texts, findings, strict=True)], dtype=object)
+
+    # Only rows with a finding go through Python.
+    some = joined.where("findings is not null").withColumn(text, hide(text, "findings"))
+    return joined.where("findings is null").unionByName(some).select(*docs.columns)
+
+
 def count_of(kind: str) -> Column:
     return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long")
 

@@ -206,9 +206,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau:
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id."""
+    """The rows of ``docs`` that stay: of each component the document with the smallest id, once.
+
+    A row without an id cannot be named as the one that stays: it goes.
+    """
     keep = components(docs.select(doc_id, text), doc_id, text).where(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    return docs.join(keep, doc_id, "left_semi").select(*docs.columns)
+    return docs.join(keep, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
