@@ -18,10 +18,14 @@ def country(raw: Column, aliases: dict[str, str] = COUNTRIES) -> Column:
     return F.coalesce(F.try_element_at(literal_map(aliases), F.lower(t)), F.initcap(t))
 
 
-@F.pandas_udf("string")
-def strip_accents(text: pd.Series) -> pd.Series:
-    """Text without combining marks (NFKD); Spark has no such normalisation."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+def strip_accents(text: Column) -> Column:
+    """Text without combining marks (NFKD); Spark has no such normalisation, so this is an Arrow function."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    return run(text)
 
 
 def region_table(spark: SparkSession) -> DataFrame:

@@ -101,7 +101,7 @@ def jaro_winkler_of(a: str, b: str) -> float:
     if not left:
         return 0.0
     m = len(left)
-    swaps = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):
@@ -111,7 +111,9 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-def _arrow(f: Callable[[str, str], float]):
+def _arrow(f: Callable[[str, str], float], a: Column | str, b: Column | str) -> Column:
+    """``f`` of two text columns, batch by batch, each distinct pair of a batch once."""
+
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         memo: dict[tuple[str, str], float] = {}
@@ -122,13 +124,23 @@ def _arrow(f: Callable[[str, str], float]):
             out.append(memo[pair])
         return pd.Series(out, dtype="float64")
 
-    return run
+    return run(a, b)
+
+
+def ratio(a: Column | str, b: Column | str) -> Column:
+    return _arrow(ratio_of, a, b)
+
+
+def partial_ratio(a: Column | str, b: Column | str) -> Column:
+    return _arrow(partial_of, a, b)
+
+
+def token_set_ratio(a: Column | str, b: Column | str) -> Column:
+    return _arrow(token_set_of, a, b)
 
 
-ratio = _arrow(ratio_of)
-partial_ratio = _arrow(partial_of)
-token_set_ratio = _arrow(token_set_of)
-jaro_winkler = _arrow(jaro_winkler_of)
+def jaro_winkler(a: Column | str, b: Column | str) -> Column:
+    return _arrow(jaro_winkler_of, a, b)
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

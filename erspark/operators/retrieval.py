@@ -68,14 +68,15 @@ def dense(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block:
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"s1": pd.Series(dtype="int64"), "pool": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        b = b.sort_values("id", kind="stable")
-        scores = np.round(np.stack(a["vec"]).astype(np.float64) @ np.stack(b["vec"]).astype(np.float64).T, 6)
+        b = b.sort_values("p_id", kind="stable")
+        scores = np.round(np.stack(a["q_vec"]).astype(np.float64) @ np.stack(b["p_vec"]).astype(np.float64).T, 6)
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(a)), top.shape[1])
-        return pd.DataFrame({"s1": a["id"].to_numpy()[rows], "pool": b["id"].to_numpy()[top.ravel()], "score": scores[rows, top.ravel()]})
+        return pd.DataFrame({"s1": a["q_id"].to_numpy()[rows], "pool": b["p_id"].to_numpy()[top.ravel()], "score": scores[rows, top.ravel()]})
 
     keys = [*bucket, "i", "j"]
-    pairs = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(best, "s1 long, pool long, score double")
+    q, p = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side, df in (("q", q), ("p", p)))
+    pairs = q.groupBy(*[f"q_{c}" for c in keys]).cogroup(p.groupBy(*[f"p_{c}" for c in keys])).applyInPandas(best, "s1 long, pool long, score double")
     return ranked(pairs, ["s1"], k)
 
 
@@ -85,9 +86,9 @@ def dense_reverse(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str]
 
 
 def term_table(records: DataFrame, fields: dict[str, str], keep: list[str]) -> DataFrame:
-    """id, *keep, field, token, tf and dl: the tokens of each field, prefixed by it, and the record's length."""
+    """id, *keep, dl, token, tf: the tokens of each field (``fields`` maps a prefix to a column), and the record's length."""
     find = lambda c: F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 2)
-    every = F.concat(*[F.transform(find(c), _prefixer(f)) for c, f in fields.items()])
+    every = F.concat(*[F.transform(find(c), _prefixer(f)) for f, c in fields.items()])
     df = records.select("id", *keep, every.alias("tokens")).withColumn("dl", F.size("tokens"))
     return df.select("id", *keep, "dl", F.explode("tokens").alias("token")).groupBy("id", *keep, "dl", "token").agg(F.count("*").alias("tf"))
 
