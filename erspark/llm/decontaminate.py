@@ -204,21 +204,21 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, budget: Budget) -> Ite
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: Budget = Budget()) -> DataFrame:
-    """``docs`` with ``hits``: the benchmark items found in each whole text, as item, start, end (code points) and edits.
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: Budget = Budget(), out: str = "hits") -> DataFrame:
+    """``docs`` with ``hits`` (or another name): the benchmark items found in each whole text, as item, start, end (code points) and edits.
 
     Each block of items is a broadcast of bounded size; a benchmark of many blocks passes the documents block after block
     in one narrow chain, without a shuffle. Null texts hold nothing; null or blank items match nothing.
     """
-    df = docs.withColumn("hits", F.array().cast(HIT))
+    df = docs.withColumn(out, F.array().cast(HIT))
     for block in blocks(benchmark, item_id, item_text, budget):
-        df = _search(df, text, block, budget)
+        df = _search(df, text, block, budget, out)
     return df
 
 
-def _search(df: DataFrame, text: str, block: list[tuple[int, str]], budget: Budget) -> DataFrame:
+def _search(df: DataFrame, text: str, block: list[tuple[int, str]], budget: Budget, out: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((block, budget))
-    t, h = df.columns.index(text), df.columns.index("hits")
+    t, h = df.columns.index(text), df.columns.index(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
@@ -231,7 +231,7 @@ def _search(df: DataFrame, text: str, block: list[tuple[int, str]], budget: Budg
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    return contaminated(docs, benchmark, text).where(F.size("hits") == 0).drop("hits")
+    return contaminated(docs, benchmark, text, out="__hits").where(F.size("__hits") == 0).drop("__hits")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

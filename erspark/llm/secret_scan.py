@@ -116,16 +116,16 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text")
     found = scan_blobs(docs, ledger, text=text)
     if ledger is not None:
         found = current(ledger.select("blob_id", "findings").unionByName(found.select("blob_id", "findings")))
-    some = found.where(F.size("findings") > 0)
-    joined = join_back(docs, some, text)
+    some = found.where(F.size("findings") > 0).select(F.col("blob_id").alias("__blob"), F.col("findings").alias("__found"))
+    joined = docs.join(some, F.sha2(empty_texts(docs, text), 256) == F.col("__blob"), "left")
 
     @F.pandas_udf("string")
     def hide(texts: pd.Series, findings: pd.Series) -> pd.Series:
         return pd.Series([redacted(t, list(f)) for t, f in zip(texts, findings, strict=True)], dtype=object)
 
     # Only rows with a finding go through Python.
-    some = joined.where("findings is not null").withColumn(text, hide(text, "findings"))
-    return joined.where("findings is null").unionByName(some).select(*docs.columns)
+    some = joined.where("__found is not null").withColumn(text, hide(text, "__found"))
+    return joined.where("__found is null").unionByName(some).select(*docs.columns)
 
 
 def count_of(kind: str) -> Column:

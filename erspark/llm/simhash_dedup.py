@@ -133,6 +133,11 @@ def linked(left: np.ndarray, right: np.ndarray | None, segment: int, tau: int, m
     return out
 
 
+def _probe(segment: int, mask: int):
+    """From bits to flip to the segment's key."""
+    return lambda flip: F.struct(F.lit(segment).alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(flip).alias("val"))
+
+
 def links_of(fps: DataFrame, tau: int = 4, segments: int = 5, block: int = BLOCK) -> DataFrame:
     """(a, b): links that connect every pair of distinct ``fp`` values within ``tau`` bits.
 
@@ -144,8 +149,8 @@ def links_of(fps: DataFrame, tau: int = 4, segments: int = 5, block: int = BLOCK
     """
     masks = masks_of(segments)
     radius = tau // segments
-    each = [F.struct(F.lit(i).alias("seg"), (F.col("fp").bitwiseAND(F.lit(_signed(m)))).bitwiseXOR(F.lit(_signed(f))).alias("val")) for i, m in enumerate(masks) for f in _flips(m, radius)]
-    keyed = fps.select("fp", F.explode(F.array(*each)).alias("k")).select("fp", "k.seg", "k.val")
+    each = F.concat(*[F.transform(F.lit([_signed(f) for f in _flips(m, radius)]), _probe(i, m)) for i, m in enumerate(masks)])
+    keyed = fps.select("fp", F.explode(each).alias("k")).select("fp", "k.seg", "k.val")
     sizes = keyed.groupBy("seg", "val").count().where("count > 1").select("seg", "val", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     dealt = keyed.join(sizes, ["seg", "val"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # Task (i, j) with i <= j compares blocks i and j: a block is sent to every pair that it is part of.
