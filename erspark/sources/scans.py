@@ -23,6 +23,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """Text of a small file, hidden ones too, which Spark's readers pass over."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def locate(spark: SparkSession, folder: str, split: str, name: str) -> str:
     """``folder/split/name``, or ``folder/name`` where that does not exist; raises if neither does."""
     for path in (f"{folder}/{split}/{name}", f"{folder}/{name}"):
@@ -86,7 +96,7 @@ def stale(spark: SparkSession, source: str, target: str) -> bool:
     meta = f"{target}/_meta.json"
     if not exists(spark, meta):
         return True
-    said = json.loads("".join(r[0] for r in spark.read.text(meta).collect()))
+    said = json.loads(read_small(spark, meta))
     return said.get("source") != source_state(spark, source)
 
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erspark.sources.scans import _fs, exists
+from erspark.sources.scans import _fs, exists, read_small
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
@@ -22,7 +22,7 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
-    return json.loads("\n".join(r[0] for r in spark.read.text(path).collect())) if exists(spark, path) else None
+    return json.loads(read_small(spark, path)) if exists(spark, path) else None
 
 
 def save(df: DataFrame, path: str, meta: dict, partition_by: tuple[str, ...] = (), sort: tuple[str, ...] = ()) -> None:
