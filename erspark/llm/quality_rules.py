@@ -112,4 +112,4 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     have no words and fail; a null source is a host of its own; repeated rows stay; an empty table gives no rows.
     """
     df = apply_rules(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_rate", "host_bad")
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", F.round("host_rate", 6).alias("host_rate"), "host_bad")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from erspark.llm import decontaminate, html_text, language_id, license_scan, packing, pii, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from erspark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -20,4 +21,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.op9_pii,
     "op10_html_text": html_text.op10_html_text,
 }
-ORACLES: dict[str, str] = {}
