@@ -29,9 +29,9 @@ from erspark.llm.common import empty_texts, materialize, read_table
 #: Bytes of a minimiser's q-gram.
 Q = 32
 #: Bytes of contexts that one round of refinement takes in; a bucket is never divided by it.
-BATCH = 4_000_000
+BATCH = 1_000_000
 #: Bytes of a text that anchors are found in at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def qgram_hashes(b: np.ndarray, q: int = Q) -> np.ndarray:
@@ -72,22 +72,32 @@ def anchors(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def refine(buffer: np.ndarray, width: int) -> np.ndarray:
-    """Bucket identifier of the ``width``-byte string at every place of ``buffer`` (places too near its end get -1)."""
+    """Bucket pointer of the ``width``-byte string at every place of ``buffer`` (places too near its end get -1).
+
+    A bucket is named by the place of its first member, so a place that is alone needs no further sorting: each round sorts
+    only the places whose bucket has others.
+    """
     n = len(buffer)
-    # Buckets of the first 8 bytes, exactly.
     if n < width:
         return np.full(n, -1, np.int64)
-    word = buffer.astype(np.uint64)
+    word = buffer.astype(np.uint64)  # buckets of the first 8 bytes, exactly
     for s in (1, 2, 4):
         word = (word[:-s] << np.uint64(8 * s)) | word[s:]
-    ids = np.unique(word, return_inverse=True)[1].astype(np.uint64)
+    _, first, bucket, count = np.unique(word, return_index=True, return_inverse=True, return_counts=True)
+    ids, active = first[bucket], np.flatnonzero(count[bucket] > 1)
     have = 8
-    while have < width:
+    while have < width and len(active):
         step = min(have, width - have)
-        pair = (ids[: len(ids) - step] << np.uint64(32)) | ids[step:]
-        ids = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+        active = active[active + step + have <= n]
+        pair = (ids[active].astype(np.uint64) << np.uint64(32)) | ids[active + step].astype(np.uint64)
+        _, first, bucket, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        ids = ids.copy()
+        ids[active] = active[first[bucket]]
+        active = active[count[bucket] > 1]
         have += step
-    return np.concatenate((ids.astype(np.int64), np.full(n - len(ids), -1, np.int64)))
+    out = np.full(n, -1, np.int64)
+    out[: n - width + 1] = ids[: n - width + 1]
+    return out
 
 
 def repeated(contexts: list[bytes], width: int) -> list[list[tuple[int, int]]]:
@@ -162,7 +172,8 @@ def repeated_runs(docs: DataFrame, width: int = 200, text: str = "text") -> Data
     texts = docs.select(text_key(docs, text).alias("key"), empty_texts(docs, text).alias("text"))
     found = materialize(_find_anchors(texts, width), "anchors")
     buckets = found.groupBy("h").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
-    some = materialize(found.join(buckets, "h"), "repeats")
+    # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+    some = materialize(found.join(materialize(buckets, "buckets"), "h"), "repeats")
     # Every context of a mixed bucket once, with one place where it stands, and whether it stands elsewhere too.
     kinds = some.where("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("at"))
     wanted = kinds.select("at.key", F.struct("h", "ctx", F.col("at.first").alias("first"), F.col("at.last").alias("last")).alias("c")).groupBy("key").agg(F.collect_list("c").alias("wanted"))
@@ -205,11 +216,12 @@ def repeated_runs(docs: DataFrame, width: int = 200, text: str = "text") -> Data
     parts = dealt.mapInArrow(sort, "h long, ctx long, runs array<struct<first:long,last:long>>")
     multiple = kinds.where("n > 1").select("h", "ctx", F.lit(True).alias("again"))
     # What the edges of copies share, at every place where such a context stands.
-    mixed = some.where("mixed").join(parts.join(multiple, ["h", "ctx"], "full"), ["h", "ctx"])
+    shared = materialize(parts.join(multiple, ["h", "ctx"], "full"), "shared")
+    mixed = some.where("mixed").join(shared, ["h", "ctx"])
     whole = F.array(F.struct("first", "last"))
     moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), (r["last"] + F.col("first")).alias("last")))
     runs = mixed.select("key", F.when(F.col("again"), whole).otherwise(moved).alias("runs")).unionByName(some.where("not mixed").select("key", whole.alias("runs")))
-    return runs.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return runs.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def strip(docs: DataFrame, width: int = 200, text: str = "text") -> DataFrame:
