@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erspark.llm.common import empty_texts, joined_spans, read_table
+from erspark.llm.common import empty_texts, joined_spans, materialize, read_table
 
 
 @dataclass(frozen=True)
@@ -117,15 +117,16 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text")
     if ledger is not None:
         found = current(ledger.select("blob_id", "findings").unionByName(found.select("blob_id", "findings")))
     some = found.where(F.size("findings") > 0).select(F.col("blob_id").alias("__blob"), F.col("findings").alias("__found"))
-    joined = docs.join(some, F.sha2(empty_texts(docs, text), 256) == F.col("__blob"), "left")
+    joined = docs.join(materialize(some, "secrets"), F.sha2(empty_texts(docs, text), 256) == F.col("__blob"), "left")
 
     @F.pandas_udf("string")
     def hide(texts: pd.Series, findings: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, list(f)) for t, f in zip(texts, findings, strict=True)], dtype=object)
+        return pd.Series([None if t is None or f is None else redacted(t, list(f)) for t, f in zip(texts, findings, strict=True)], dtype=object)
 
-    # Only rows with a finding go through Python.
-    some = joined.where("__found is not null").withColumn(text, hide(text, "__found"))
-    return joined.where("__found is null").unionByName(some).select(*docs.columns)
+    has = F.col("__found").isNotNull()
+    # Texts without a finding go to Python as null, and stay what they were.
+    body = F.when(has, hide(F.when(has, F.col(text)), F.col("__found"))).otherwise(F.col(text))
+    return joined.withColumn(text, body).select(*docs.columns)
 
 
 def count_of(kind: str) -> Column:
