@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erspark.llm import decontaminate, language_id, packing, secret_scan, simhash_dedup
+from erspark.llm import decontaminate, language_id, near_copies, packing, secret_scan
 from erspark.llm.common import materialize, read_table
 
 
@@ -15,8 +15,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash_dedup.first_of_each(docs)
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return near_copies.first_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
