@@ -149,11 +149,13 @@ def components(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, once.
+    """The rows of ``docs`` that stay: one of each component, that with the smallest id; one without an id if none has any.
 
-    A row without an id cannot be named as the one that stays: it goes.
+    Rows are told apart by hashes of all their columns and of the text, not by id: null and repeated ids lose no text, and
+    a row that is there twice stays once.
     """
     key = ["__all", "__text_hash"]
-    rows = docs.select(doc_id, text, F.xxhash64(*docs.columns).alias(key[0]), F.xxhash64(F.lit(1), text).alias(key[1]))
-    keep = components(rows, key, text).groupBy("root").agg(F.min(doc_id).alias(doc_id)).where(F.col(doc_id).isNotNull()).select(doc_id).distinct()
-    return docs.join(keep, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
+    hashes = [F.xxhash64(*docs.columns).alias(key[0]), F.xxhash64(F.lit(1), text).alias(key[1])]
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), *key)).alias("first")
+    keep = components(docs.select(doc_id, text, *hashes), key, text).groupBy("root").agg(first).select(*[f"first.{k}" for k in key])
+    return docs.select("*", *hashes).join(keep, key, "left_semi").dropDuplicates(key).select(*docs.columns)

@@ -57,6 +57,15 @@ def test_every_pair_of_a_bucket_is_looked_at(spark):
     assert {(r["a"], r["b"]) for r in got} == {(a, b) for b in range(6) for a in range(b) if b >= 3}
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"v{rng.randrange(9000)}" for _ in range(60)) for _ in range(4))
+    near = a.replace(a.split()[0], "other", 1)
+    rows = [(None, a), (None, a), (None, near), (None, b), (7, c), (7, d), (7, d), (3, d + " tail"), (5, near + " end"), (5, near + " end")]
+    got = near_copies.first_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, b), (7, c), (3, d + " tail"), (5, near + " end")])
+
+
 def test_pipeline_by_jaccard(spark, corpus):
     """All stages over the awkward corpus, with the near copies that brute-force Jaccard similarity finds."""
     import corpus_pipeline
