@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density (Sun, Song and Liao, 2011).
 
 Every element of a page's tree gets its characters per tag, adjusted for the share of characters and tags that links take.
-The element whose children's densities have the largest sum holds the article; the smallest density on the way from it to
-the body is the threshold for what it keeps.
+The element whose children's densities have the largest sum is the article's core; the smallest density on the way from it to
+the body is the threshold. What stays is the whole article or main element around the core and all else that is dense enough:
+in other such elements, or in the whole body if none is around the core. A heading goes with the text that follows it.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from erspark.llm.common import read_table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-NOISE_TAGS = frozenset("nav footer aside form button select option dialog menu figcaption".split())
+NOISE_TAGS = frozenset("nav footer aside form button select option dialog menu".split())
 CONTENT_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 NOISE_WORDS = re.compile(
@@ -157,11 +159,31 @@ def main_text(page: str | None) -> str:
         path.append(each[k])
         k = nodes[k].parent
     threshold = min([*path, each[0]] if each[0] else path, default=0.0)
-    under = {best}
-    for k in range(best + 1, len(nodes)):
+    around, k = [], best
+    while k > 0:
+        if nodes[k].tag in CONTENT_TAGS:
+            around.append(k)
+        k = nodes[k].parent
+    under, scope = {around[-1] if around else best}, set() if around else {0}
+    for k in range(1, len(nodes)):
         if nodes[k].parent in under:
             under.add(k)
-    kept = [t for k, t in blocks if k in under and (k == best or each[k] >= threshold or 2 * nodes[k].link_chars <= nodes[k].chars)]
+        if not nodes[k].noise and (nodes[k].tag in CONTENT_TAGS or nodes[k].parent in scope):
+            scope.add(k)
+    # One paragraph has less density than the elements around it: away from the core, half of the core's median block will do.
+    core = sorted(each[k] for k, _ in blocks if k in under)
+    away = min(threshold, core[len(core) // 2] / 2) if core else threshold
+    kept, follows = [], False
+    for k, t in reversed(blocks):
+        inside = k in under and (k == best or each[k] >= threshold or 2 * nodes[k].link_chars <= nodes[k].chars)
+        ok = inside or (k in scope and each[k] >= away > 0)
+        if nodes[k].tag in HEADINGS:
+            ok = ok or (follows and k in scope)
+        else:
+            follows = ok
+        if ok:
+            kept.append(t)
+    kept.reverse()
     return "\n\n".join(kept)
 
 
