@@ -249,7 +249,6 @@ def join_dense_global(spark, sf):
 
 
 QUERIES["join_blocked_cosine"], ORACLES["join_blocked_cosine"] = join_dense_topk, ORACLES["join_dense_topk"]
-QUERIES["join_adapter_topk"], ORACLES["join_adapter_topk"] = join_dense_topk, ORACLES["join_dense_topk"]
 QUERIES["join_partitioned"], ORACLES["join_partitioned"] = join_dense_topk, ORACLES["join_dense_topk"]
 
 
@@ -413,10 +412,15 @@ def topk_running_merge(spark, sf):
     return retrieval.ranked(pair(spark, sf), ["s1"], 3, "p").select("s1", "pool", "p")
 
 
-for _k in ("topk_dense_block", "topk_sparse_rows", "sort_pairs"):
+for _k in ("topk_dense_block", "topk_sparse_rows"):
     QUERIES[_k], ORACLES[_k] = topk_running_merge, ORACLES["topk_running_merge"]
 
 
+@query("sort_pairs", f"{ON_PAIR} SELECT s1, pool, p, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, pool) - 1 AS rank FROM pair")
+def sort_pairs(spark, sf):
+    return pair(spark, sf).select("s1", "pool", "p", ranking.rank_within(["s1"], "p", "pool").cast("long").alias("rank")).sort("s1", "rank")
+
+
 @query("limit_hash_order")
 def limit_hash_order(spark, sf):
     return truth.first_by_hash(rec(spark, sf).select("id"), "id", 25, 3)
@@ -717,8 +721,18 @@ def ml_gbdt_train(spark, sf):
     return model.cross_validated(df, ["p", "price", "discount", "is_s3"], "y", 3, trees=3, depth=3)
 
 
-for _k in ("ml_gbdt_predict", "ml_cv_oof", "ml_train_calibrate"):
-    QUERIES[_k] = ml_gbdt_train
+QUERIES["ml_cv_oof"] = ml_gbdt_train  # every row's probability is out of fold
+
+
+@query("ml_gbdt_predict")
+def ml_gbdt_predict(spark, sf):
+    """Probabilities of the held-out entities from one model of all others."""
+    from erspark.operators import model
+
+    features = ["p", "price", "discount", "is_s3"]
+    df = pair(spark, sf).withColumn("fold", truth.folds(F.col("s1"), 1.0, 0.1, 3))
+    scored = model.predict(model.fit(df.where("fold >= 0"), features, "y", trees=3, depth=3), df.where("fold < 0"), features, "prob")
+    return scored.select("s1", "pool", "y", F.round("prob", 6).alias("prob"))
 
 
 @query("ml_second_stage")
@@ -779,9 +793,6 @@ def join_tfidf(spark, sf):
     return long_rank(retrieval.dense(v.where("src = 1"), v.where("src > 1"), 5, ["country"]))
 
 
-QUERIES["ml_tfidf_svd"] = QUERIES["ml_embed_text"] = QUERIES["ml_dedup_embed"] = join_tfidf
-
-
 @query("agg_emb_sanity")
 def agg_emb_sanity(spark, sf):
     v = vec(spark, sf)

@@ -133,9 +133,6 @@ def agg_candidate_gain(spark, sf):
     return by.agg(F.round(F.sum("old") / F.lit(total), 9).alias("before"), F.round(F.sum("all") / F.lit(total), 9).alias("after"))
 
 
-QUERIES["agg_adapter_recall"], ORACLES["agg_adapter_recall"] = agg_candidate_gain, ORACLES["agg_candidate_gain"]
-
-
 @query("agg_feature_gain")
 def agg_feature_gain(spark, sf):
     features = ["p", "price", "discount", "is_s3"]
