@@ -84,6 +84,27 @@ def scores(pairs: DataFrame, truth_counts: DataFrame, thresholds: list[float], e
     return out.select("threshold", F.round((F.col("f") + F.lit(total["empty"]) - F.col("spoilt")) / F.lit(max(1, total["n"])), 9).alias("f05"))
 
 
+def search(pairs: DataFrame, truth_counts: DataFrame) -> DataFrame:
+    """kind, threshold, multiplier, exclusive, f05: macro F0.5 of every global and relative rule of the grids, with and without
+    exclusivity. Relative rules are counted like thresholds, in one pass; exclusivity there ranks what a rule kept."""
+    flat = [scores(pairs, truth_counts, THRESHOLDS, x).select(F.lit("global").alias("kind"), "threshold", F.lit(None).cast("double").alias("multiplier"), F.lit(int(x)).alias("exclusive"), "f05") for x in (False, True)]
+    grid = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(m).alias("multiplier")) for t in FLOORS for m in MULTIPLIERS])
+    passed = F.filter(grid, lambda g: (F.col("p") >= g["threshold"]) & (F.col("p") * g["multiplier"] >= F.col("p1")))
+    each = entity_context(pairs).select("s1", "pool", "p", "y", F.explode(passed).alias("g")).select("s1", "pool", "p", "y", "g.*")
+    order = Window.partitionBy("threshold", "multiplier", "pool").orderBy(F.desc("p"), "s1")
+    each = each.withColumn("best", F.row_number().over(order) == 1).withColumn("exclusive", F.explode(F.when(F.col("best"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    by = ["threshold", "multiplier", "exclusive"]
+    counts = each.groupBy("s1", *by).agg(F.count("*").alias("n_pred"), F.sum("y").alias("tp")).join(truth_counts, "s1")
+    precision, recall = F.col("tp") / F.col("n_pred"), F.col("tp") / F.col("n_true")
+    f = F.when(F.col("tp") > 0, 1.25 * precision * recall / (0.25 * precision + recall)).otherwise(F.lit(0.0))
+    got = counts.groupBy(*by).agg(F.sum(f).alias("f"), F.count_if(F.col("n_true") == 0).alias("spoilt"))
+    total = truth_counts.agg(F.count("*").alias("n"), F.count_if(F.col("n_true") == 0).alias("empty")).first()
+    base = pairs.sparkSession.createDataFrame([(t, m, x) for t in FLOORS for m in MULTIPLIERS for x in (0, 1)], "threshold double, multiplier double, exclusive int")
+    f05 = F.round((F.col("f") + F.lit(total["empty"]) - F.col("spoilt")) / F.lit(max(1, total["n"])), 9)
+    relative = base.join(got, by, "left").na.fill(0, ["f", "spoilt"]).select(F.lit("relative").alias("kind"), "threshold", "multiplier", "exclusive", f05.alias("f05"))
+    return flat[0].unionByName(flat[1]).unionByName(relative)
+
+
 def simplest(rows: list[tuple[Rule, float]], tolerance: float = 0.001) -> tuple[Rule, float]:
     """The simplest rule within ``tolerance`` of the best score; among equals the better one."""
     best = max(s for _, s in rows)

@@ -542,11 +542,17 @@ def rule_grid_search(spark, sf):
     return rules.scores(pair(spark, sf), entity(spark, sf), GRID, True)
 
 
+@query("rule_grid_full")
+def rule_grid_full(spark, sf):
+    """Every rule of the survey's grids; ``rule_grid_search`` holds the five thresholds that its SQL names."""
+    return rules.search(pair(spark, sf), entity(spark, sf))
+
+
 @query("rule_select_simplest")
 def rule_select_simplest(spark, sf):
-    rows = [(rules.Rule(threshold=r["threshold"], exclusive=True), r["f05"]) for r in rule_grid_search(spark, sf).collect()]
+    rows = [(rules.Rule(r["kind"], r["threshold"], bool(r["exclusive"]), multiplier=r["multiplier"] or 2.0), r["f05"]) for r in rule_grid_full(spark, sf).collect()]
     best, score = rules.simplest(rows)
-    return spark.createDataFrame([(best.threshold, int(best.exclusive), score)], "threshold double, exclusive int, f05 double")
+    return spark.createDataFrame([(best.kind, best.threshold, best.multiplier if best.kind == "relative" else None, int(best.exclusive), score)], "kind string, threshold double, multiplier double, exclusive int, f05 double")
 
 
 # ---- metrics ---------------------------------------------------------------------------------------------------------

@@ -31,3 +31,17 @@ def test_predictions_are_of_held_out_entities(spark):
 
 def test_no_name_stands_for_another_operator():
     assert not {"join_adapter_topk", "agg_adapter_recall", "ml_tfidf_svd", "ml_embed_text", "ml_dedup_embed", "ml_train_calibrate"} & set(QUERIES)
+
+
+def test_simplest_rule_comes_from_the_full_grid(spark):
+    from erspark.operators import metrics, rules
+    from erspark.plans.fixtures import entity
+
+    rows = QUERIES["rule_grid_full"](spark, SF).collect()
+    assert len(rows) == len({(r["kind"], r["threshold"], r["multiplier"], r["exclusive"]) for r in rows}) == 2 * (60 + 48)
+    p, e = pair(spark, SF), entity(spark, SF)
+    for r in [x for x in rows if x["kind"] == "relative"][::31] + [x for x in rows if x["kind"] == "global"][::50]:
+        rule = rules.Rule(r["kind"], r["threshold"], bool(r["exclusive"]), multiplier=r["multiplier"] or 2.0)
+        assert abs(metrics.macro_f05(rules.keep(p, rule), e).first()["macro_f05"] - r["f05"]) < 1e-6, r
+    got = QUERIES["rule_select_simplest"](spark, SF).first()
+    assert got["f05"] >= max(r["f05"] for r in rows) - 0.001
