@@ -94,19 +94,30 @@ def mutual_top(rank_a: str, rank_b: str, k: int = 5) -> Column:
 
 def cluster_features(pairs: DataFrame, vectors: DataFrame, near: float = 0.9) -> DataFrame:
     """Similarity of each candidate to its entity's three most confident others: cl_cos_top1, cl_cos_max3, cl_cos_wmax3,
-    cl_is_top3, cl_n_near. ``pairs`` has s1, pool, p and is_new; a new candidate fills a place only after the existing ones
+    cl_name_top1, cl_addr_top1, cl_is_top3, cl_n_near. A vector's first half is the name's and its second half the address's:
+    their products with the most confident one's halves are not scaled to length 1. ``pairs`` has s1, pool, p and is_new; a new candidate fills a place only after the existing ones
     and weighs nothing. ``vectors`` has id and vec."""
     order = Window.partitionBy("s1").orderBy("is_new", F.desc("p"), "pool")
     top = pairs.withColumn("slot", F.row_number().over(order)).where("slot <= 3")
     top = top.select("s1", "slot", F.col("pool").alias("t"), F.when(F.col("is_new") == 1, F.lit(0.0)).otherwise(F.col("p")).alias("w")).join(vectors.select(F.col("id").alias("t"), F.col("vec").alias("tv")), "t")
     mine = pairs.join(vectors.select(F.col("id").alias("pool"), "vec"), "pool")
     both = mine.join(top, "s1", "left")
-    cos = F.round(F.aggregate(F.zip_with("vec", "tv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), 6)
-    both = both.withColumn("cos", F.when(F.col("t") != F.col("pool"), cos))
+    half = F.floor(F.size("vec") / 2).cast("int")
+
+    def product(x: Column, y: Column) -> Column:
+        dot = F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, a: s + a)
+        return F.when(F.col("t") != F.col("pool"), F.round(dot, 6))
+
+    name = product(F.slice("vec", F.lit(1), half), F.slice("tv", F.lit(1), half))
+    addr = product(F.slice("vec", half + 1, F.size("vec") - half), F.slice("tv", half + 1, F.size("vec") - half))
+    first = F.col("slot") == 1
+    both = both.withColumns({"cos": product(F.col("vec"), F.col("tv")), "name": F.when(first, name), "addr": F.when(first, addr)})
     return both.groupBy("s1", "pool").agg(
         F.max(F.when(F.col("slot") == 1, F.col("cos"))).alias("cl_cos_top1"),
         F.coalesce(F.max("cos"), F.lit(-1.0)).alias("cl_cos_max3"),
         F.coalesce(F.max(F.col("cos") * F.col("w")), F.lit(-1.0)).alias("cl_cos_wmax3"),
+        F.max("name").alias("cl_name_top1"),
+        F.max("addr").alias("cl_addr_top1"),
         F.max(F.coalesce((F.col("t") == F.col("pool")).cast("int"), F.lit(0))).alias("cl_is_top3"),
         F.count_if(F.col("cos") > near).alias("cl_n_near"),
     )

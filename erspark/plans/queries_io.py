@@ -160,12 +160,18 @@ def ml_pair_scorer(spark, sf):
     return model.scored_pairs(twins(spark, sf), score, "a", "b").select("s1", "pool", F.round("ce", 6).alias("ce"))
 
 
+CLUSTER = ("cl_cos_top1", "cl_cos_max3", "cl_cos_wmax3", "cl_name_top1", "cl_addr_top1", "cl_is_top3", "cl_n_near")
+
+
 @query("ml_second_stage_v3")
 def ml_second_stage_v3(spark, sf):
     c = ranking.entity_context(pair(spark, sf)).withColumn("ce", F.when(F.col("p").between(0.05, 0.95), F.col("discount") * 10))
     rev = lists(spark, sf).where("retriever = 'dense_rev'").select("s1", "pool", F.col("rank").cast("int").alias("frank"), F.col("score").alias("fcos"))
     c = c.join(rev, ["s1", "pool"], "left").withColumn("is_new", F.col("frank").isNull().cast("int")).na.fill({"frank": 99, "fcos": 0.0})
-    return model.second_stage(c, "y", trees=3, depth=3, extra=("frank", "fcos", "is_new")).select("s1", "pool", "p", "p_new")
+    cluster = ranking.cluster_features(c.select("s1", "pool", "p", "is_new"), vec(spark, sf).select("id", "vec"))
+    # Without a vector or another candidate there is no similarity.
+    c = c.join(cluster, ["s1", "pool"], "left").na.fill(-1.0, list(CLUSTER[:5])).na.fill(0, list(CLUSTER[5:]))
+    return model.second_stage(c, "y", trees=3, depth=3, extra=("frank", "fcos", "is_new", *CLUSTER)).select("s1", "pool", "p", "p_new")
 
 
 def _score(spark, sf):

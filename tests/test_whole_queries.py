@@ -45,3 +45,18 @@ def test_simplest_rule_comes_from_the_full_grid(spark):
         assert abs(metrics.macro_f05(rules.keep(p, rule), e).first()["macro_f05"] - r["f05"]) < 1e-6, r
     got = QUERIES["rule_select_simplest"](spark, SF).first()
     assert got["f05"] >= max(r["f05"] for r in rows) - 0.001
+
+
+def test_cluster_features_are_all_seven(spark, monkeypatch):
+    from erspark.operators import lists, model
+    from erspark.plans.queries_io import CLUSTER
+
+    pairs = spark.createDataFrame([(1, 1, 0.9, 0), (1, 2, 0.8, 0)], "s1 long, pool long, p double, is_new int")
+    vectors = spark.createDataFrame([(1, [0.5, 0.5, 0.1, 0.2]), (2, [0.5, 0.1, 1.0, 0.0])], "id long, vec array<double>")
+    got = {r["pool"]: r for r in lists.cluster_features(pairs, vectors).collect()}
+    assert (got[2]["cl_name_top1"], got[2]["cl_addr_top1"], got[2]["cl_cos_top1"]) == (0.3, 0.1, 0.4)
+    assert got[1]["cl_name_top1"] is None and got[1]["cl_addr_top1"] is None
+    seen, second = [], model.second_stage
+    monkeypatch.setattr(model, "second_stage", lambda *a, **k: seen.extend(k["extra"]) or second(*a, **k))
+    out = QUERIES["ml_second_stage_v3"](spark, SF)
+    assert set(CLUSTER) <= set(seen) and out.count() == pair(spark, SF).count()
