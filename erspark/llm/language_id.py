@@ -49,7 +49,10 @@ def presence(text: str) -> np.ndarray | None:
     if not _TABLE:
         _TABLE.append(_letters())
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    astral = codes[codes >= 1 << 16]
     codes = np.where(codes < 1 << 16, _TABLE[0][np.minimum(codes, (1 << 16) - 1)], codes)
+    if len(astral):  # the table ends here: their few distinct values are asked one by one
+        codes[np.isin(codes, [c for c in np.unique(astral).tolist() if not chr(c).isalpha()])] = SPACE
     space = codes == SPACE
     if space.all():
         return None
