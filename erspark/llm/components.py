@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erspark.llm.common import materialize
+from erspark.llm.common import discard, materialize
 
 
 def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,9 @@ def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "small")
+        before, now = now, materialize(small, "small")
+        discard(before)
+        discard(large)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == last:
             break
