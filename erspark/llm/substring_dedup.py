@@ -8,6 +8,8 @@ Which 200-byte windows occur twice is a question of sorting all windows. Two fac
 * A context whose q-gram is alone is unique. Contexts of a bucket that are equal as a whole repeat as a whole. Only
   different contexts of one bucket, at the edges of what was copied, are refined window by window.
 
+Equal texts are one text with a number of copies: a text that is there twice goes as a whole, and lends its contexts once.
+
 Refinement is that of the bucket-pointer algorithm: positions start in buckets of their first bytes, and buckets are split
 by sorting on the bucket identifiers of later offsets; identifiers of length h serve to refine to 2h, again and again.
 """
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erspark.llm.common import empty_texts, materialize, read_table
@@ -30,6 +32,10 @@ from erspark.llm.common import empty_texts, materialize, read_table
 Q = 32
 #: Bytes of contexts that one round of refinement takes in; a bucket is never divided by it.
 BATCH = 1_000_000
+#: Different contexts of one q-gram that are refined in one task. The windows of a larger bucket are dealt one by one.
+HOT = 2_000
+#: Anchors in one batch of rows.
+ROWS = 50_000
 #: Bytes of a text that anchors are found in at a time.
 CHUNK = 1 << 20
 
@@ -124,73 +130,64 @@ def repeated(contexts: list[bytes], width: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _find_anchors(texts: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, cols = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = text.encode("utf-8", "surrogatepass")
-                place, h, first, last = anchors(t, width)
-                if len(place):
-                    ctx = np.fromiter((xxhash.xxh3_64_intdigest(t[f : e + width], int(p - f)) for p, f, e in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(place))
-                    keys += [key] * len(place)
-                    cols.append((h.view(np.int64), ctx.view(np.int64), first, last))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(np.concatenate(x)) for x in zip(*cols, strict=True))], ["key", "h", "ctx", "first", "last"])
-
-    return texts.mapInArrow(run, "key binary, h long, ctx long, first long, last long")
+def text_key(docs: DataFrame, text: str = "text") -> Column:
+    """128 bits of the text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(empty_texts(docs, text), 256), 1, 32))
 
 
 def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-def packed_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key, z: each distinct text once, compressed. The key is 128 bits of its SHA-256."""
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """key, copies, z: each distinct text once, compressed, and how often it is there."""
     source = docs.select(text_key(docs, text).alias("key"), empty_texts(docs, text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = [c.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+            z = [c.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["key", "z"])
 
-    return source.mapInArrow(run, "key binary, z binary").groupBy("key").agg(F.first("z").alias("z"))
+    return source.mapInArrow(run, "key binary, z binary").groupBy("key").agg(F.count("*").alias("copies"), F.first("z").alias("z"))
 
 
-def text_key(docs: DataFrame, text: str = "text"):
-    return F.unhex(F.substring(F.sha2(empty_texts(docs, text), 256), 1, 32))
+def _find_anchors(texts: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, cols, size = [], [], 0
 
+        def made() -> pa.RecordBatch:
+            key = pa.array([k for k, n in keys for _ in range(n)], pa.binary())
+            batch = pa.RecordBatch.from_arrays([key, *(pa.array(np.concatenate(x)) for x in zip(*cols, strict=True))], ["key", "h", "ctx", "first", "last"])
+            keys.clear()
+            cols.clear()
+            return batch
 
-def repeated_runs(docs: DataFrame, width: int = 200, text: str = "text") -> DataFrame:
-    """key, runs: for each distinct text the window starts (first, last) of windows that occur at another place.
+        for b in batches:
+            for key, z in zip(b.column(0), b.column(1), strict=True):
+                t = _unpack(z.as_py())
+                place, h, first, last = anchors(t, width)
+                if len(place):
+                    ctx = np.fromiter((xxhash.xxh3_64_intdigest(t[f : e + width], int(p - f)) for p, f, e in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(place))
+                    keys.append((key.as_py(), len(place)))
+                    cols.append((h.view(np.int64), ctx.view(np.int64), first, last))
+                    size += len(place)
+                if size >= ROWS:
+                    yield made()
+                    size = 0
+        if cols:
+            yield made()
 
-    Hot buckets: anchors are summed up by bucket and by context inside each task before any shuffle, so a passage in a
-    third of all documents sends one row from each task; joins back to the anchors are ones that Spark may split. Texts are
-    dealt by their key and cross the network compressed; only contexts at the edges of copies follow.
-    """
-    texts = docs.select(text_key(docs, text).alias("key"), empty_texts(docs, text).alias("text"))
-    found = materialize(_find_anchors(texts, width), "anchors")
-    buckets = found.groupBy("h").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
-    # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
-    some = materialize(found.join(materialize(buckets, "buckets"), "h"), "repeats")
-    # Every context of a mixed bucket once, with one place where it stands, and whether it stands elsewhere too.
-    kinds = some.where("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("at"))
-    wanted = kinds.select("at.key", F.struct("h", "ctx", F.col("at.first").alias("first"), F.col("at.last").alias("last")).alias("c")).groupBy("key").agg(F.collect_list("c").alias("wanted"))
-    cut = packed_texts(docs, text).join(wanted, "key").select("z", "wanted")
+    return texts.select("key", "z").mapInArrow(run, "key binary, h long, ctx long, first long, last long")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, ctx, body = [], [], []
-            for z, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = _unpack(z)
-                for c in wanted:
-                    h.append(c["h"])
-                    ctx.append(c["ctx"])
-                    body.append(t[c["first"] : c["last"] + width])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(body, pa.binary())], ["h", "ctx", "body"])
 
-    dealt = cut.mapInArrow(contexts, "h long, ctx long, body binary").repartition("h").sortWithinPartitions("h")
+RUNS = "array<struct<first:long,last:long>>"
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _refined(bodies: DataFrame, width: int) -> DataFrame:
+    """h, ctx, runs: the windows that contexts of one q-gram share, by refinement of whole buckets."""
+    dealt = bodies.repartition("h").sortWithinPartitions("h")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
@@ -200,11 +197,11 @@ def repeated_runs(docs: DataFrame, width: int = 200, text: str = "text") -> Data
             runs = repeated([x[2] for x in held], width)
             rows = [(x[0], x[1], [{"first": a, "last": e} for a, e in r]) for x, r in zip(held, runs, strict=True) if r]
             held.clear()
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kind)], ["h", "ctx", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], _RUNS)], ["h", "ctx", "runs"])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, ctx, body in zip(*b.columns, strict=True):
+                row = (h.as_py(), ctx.as_py(), body.as_py())
                 if size >= BATCH and held and held[-1][0] != row[0]:
                     yield done()
                     size = 0
@@ -213,7 +210,65 @@ def repeated_runs(docs: DataFrame, width: int = 200, text: str = "text") -> Data
         if held:
             yield done()
 
-    parts = dealt.mapInArrow(sort, "h long, ctx long, runs array<struct<first:long,last:long>>")
+    return dealt.mapInArrow(sort, f"h long, ctx long, runs {RUNS}")
+
+
+def _windows(bodies: DataFrame, width: int) -> DataFrame:
+    """h, ctx, runs like ``_refined``, for buckets that no task should hold: every window goes its own way.
+
+    A window is known by 128 bits of hash. Windows are counted inside each task before the shuffle, the join back to them
+    is one whose hot side Spark splits, and a context gets at most ``width`` windows back.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                rows = [(h, c, i, xxhash.xxh3_128_digest(body[i : i + width])) for h, c, body in zip(*(x.slice(at, 256).to_pylist() for x in b.columns), strict=True) for i in range(len(body) - width + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["h", "ctx", "at", "w"])
+
+    every = materialize(bodies.mapInArrow(cut, "h long, ctx long, at long, w binary"), "windows")
+    again = materialize(every.groupBy("w").count().where("count > 1").select("w"), "again")
+    hits = every.join(again, "w", "left_semi").select("h", "ctx", "at").distinct()
+    return hits.groupBy("h", "ctx").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("runs"))
+
+
+def repeated_runs(texts: DataFrame, width: int = 200, hot: int = HOT) -> DataFrame:
+    """key, runs: for each of the distinct ``texts`` (key, z) the window starts (first, last) of windows that stand elsewhere too.
+
+    Anchors are summed up by bucket and by context inside each task before any shuffle, so a passage in a third of all texts
+    sends one row from each task; joins back to the anchors are ones that Spark may split. A q-gram with more than ``hot``
+    different contexts is not sorted in one task: its windows are dealt one by one.
+    """
+    found = materialize(_find_anchors(texts, width), "anchors")
+    buckets = found.groupBy("h").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
+    # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+    some = materialize(found.join(materialize(buckets, "buckets"), "h"), "repeats")
+    # Every context of a mixed bucket once, with one place where it stands, and whether it stands elsewhere too.
+    kinds = materialize(some.where("mixed").groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("at")), "contexts")
+    large = materialize(kinds.groupBy("h").count().where(F.col("count") > hot).select("h"), "large")
+    wanted = kinds.select("at.key", F.struct("h", "ctx", F.col("at.first").alias("first"), F.col("at.last").alias("last")).alias("c")).groupBy("key").agg(F.collect_list("c").alias("wanted"))
+    cut = texts.select("key", "z").join(wanted, "key").select("z", "wanted")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, ctx, body = [], [], []
+            for z, wanted in zip(b.column(0), b.column(1), strict=True):
+                t = _unpack(z.as_py())
+                for c in wanted.as_py():
+                    h.append(c["h"])
+                    ctx.append(c["ctx"])
+                    body.append(t[c["first"] : c["last"] + width])
+                if len(h) >= ROWS // 10:
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(body, pa.binary())], ["h", "ctx", "body"])
+                    h, ctx, body = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(body, pa.binary())], ["h", "ctx", "body"])
+
+    bodies = cut.mapInArrow(contexts, "h long, ctx long, body binary")
+    if large.isEmpty():
+        parts = _refined(bodies, width)
+    else:
+        bodies = materialize(bodies, "bodies")
+        parts = _refined(bodies.join(large, "h", "left_anti"), width).unionByName(_windows(bodies.join(large, "h", "left_semi"), width))
     multiple = kinds.where("n > 1").select("h", "ctx", F.lit(True).alias("again"))
     # What the edges of copies share, at every place where such a context stands.
     shared = materialize(parts.join(multiple, ["h", "ctx"], "full"), "shared")
@@ -221,42 +276,57 @@ def repeated_runs(docs: DataFrame, width: int = 200, text: str = "text") -> Data
     whole = F.array(F.struct("first", "last"))
     moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), (r["last"] + F.col("first")).alias("last")))
     runs = mixed.select("key", F.when(F.col("again"), whole).otherwise(moved).alias("runs")).unionByName(some.where("not mixed").select("key", whole.alias("runs")))
+    # A text's runs are no more than its anchors: what is gathered is in proportion to one text.
     return runs.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def strip(docs: DataFrame, width: int = 200, text: str = "text") -> DataFrame:
-    """For each distinct text: key, n_bytes, n_removed, n_spans, kept (binary), kept_sha256."""
-    runs = repeated_runs(docs, width, text)
-    joined = packed_texts(docs, text).join(runs, "key", "left")
+def strip(docs: DataFrame, width: int = 200, text: str = "text", hot: int = HOT) -> DataFrame:
+    """For each distinct text: key, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
+
+    Texts are dealt by their key, compressed, and written once. A text of several copies that holds a window goes whole.
+    """
+    texts = materialize(distinct_texts(docs, text), "texts")
+    joined = texts.join(repeated_runs(texts, width, hot), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for key, z, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = _unpack(z)
+            out, held = [], 0
+            for key, copies, z, runs in zip(*b.columns, strict=True):
+                t = _unpack(z.as_py())
+                again = copies.as_py() > 1 and len(t) >= width
                 gone: list[list[int]] = []
-                for a, e in sorted((r["first"], r["last"] + width) for r in runs or ()):
+                for a, e in [(0, len(t))] if again else sorted((r["first"], r["last"] + width) for r in runs.as_py() or ()):
                     if gone and a <= gone[-1][1]:
                         gone[-1][1] = max(e, gone[-1][1])
                     else:
                         gone.append([a, e])
                 edges = [0, *(x for g in gone for x in g), len(t)]
                 kept = b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                out.append((key, len(t), len(t) - len(kept), len(gone), kept))
-            key, n, removed, spans, kept = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
-                ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+                out.append((key.as_py(), len(t), len(t) - len(kept), len(gone), kept))
+                held += len(kept)
+                if held >= 8 * BATCH:
+                    yield _stripped(out)
+                    out, held = [], 0
+            yield _stripped(out)
+
+    return joined.select("key", "copies", "z", "runs").mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
 
-    return joined.select("key", "z", "runs").mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def _stripped(rows: list[tuple]) -> pa.RecordBatch:
+    key, n, removed, spans, kept = zip(*rows, strict=True) if rows else ((),) * 5
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
+        ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+    )
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from every document, and the hash of what remains.
 
     Equal texts are handled once and joined back to their rows. Null texts are empty; texts of less than 200 bytes lose
-    nothing; repeated rows are copies of each other; an empty table gives no rows.
+    nothing; repeated rows are copies of each other, so texts of 200 bytes or more that are there twice go whole; a very
+    long text is handled in one task, a chunk at a time; an empty table gives no rows. No order decides anything, so there
+    are no ties, and columns besides doc_id and text are not read.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = docs.select("doc_id", text_key(docs).alias("key"))
