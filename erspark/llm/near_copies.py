@@ -1,9 +1,13 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by the Jaccard similarity of word shingles, as a stage that SimHash links lead.
 
-Texts with equal shingle sets are one node. Nodes that agree in a band of MinHash values are candidates, and a candidate is a
-link only if the similarity of the whole sets reaches the threshold. A pair at 0.8 agrees in no band with a chance of 3e-6
-(``(1 - 0.8 ** ROWS) ** BANDS``), a closer pair with less. In each bucket every node is compared with the smallest one first;
-after that only nodes that are still in different components are, so a large group of copies costs no square of pairs.
+Texts with equal shingle sets are one node. Candidates are the links of ``simhash_dedup`` between fingerprints of the same
+shingles and, as a fingerprint of 64 bits cannot tell a similarity of 0.8 from less, nodes that agree in a band of MinHash
+values. A pair at 0.8 agrees in no band with a chance of 3e-6 (``(1 - 0.8 ** ROWS) ** BANDS``), a closer pair with less. A
+candidate is a link only if the similarity of the whole sets reaches the threshold.
+
+Sets are compared in rounds, and only between nodes that are in different components by then: first each node with the most
+similar of the nodes that lead its groups, then with the others of those, and at last with the rest of its groups. So a large
+group of copies costs no square of pairs. The share of equal MinHash values settles beforehand which pairs are far apart.
 """
 
 from __future__ import annotations
@@ -16,30 +20,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erspark.llm.common import empty_texts, materialize
+from erspark.llm.common import discard, empty_texts, materialize
 from erspark.llm.components import smallest_reachable
-from erspark.llm.simhash_dedup import _LOWER
+from erspark.llm.simhash_dedup import links_of, majority, shingle_hashes
 
 #: The default rule of near-duplicate stages: five-word shingles, a similarity of 4 / 5 or more.
 WIDTH, OVER, UNDER = 5, 4, 5
 BANDS, ROWS = 24, 4
-#: Parts into which the pairs of one node are dealt.
-SALTS = 64
+#: A pair with a smaller share of equal MinHash values is left: at 0.8, that share is below 0.6 with a chance of 5e-7.
+LEAST_EQUAL = 0.6 * BANDS * ROWS
+#: Parts into which the pairs of one node are dealt, and nodes of one group that are compared in one go.
+SALTS, BLOCK = 64, 2048
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """The distinct XXH64 of a text's ``width``-word shingles, sorted; a shorter text is one shingle."""
-    words = [w for w in text.translate(_LOWER).split(" ") if w]
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(" ".join(words[i : i + width]).encode(), 42) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    return np.unique(shingle_hashes(text, width))
 
 
-def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
-    """The node that a shingle set is, and its band values, both signed."""
+def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray, bytes]:
+    """The node that a set of sorted hashes is, its band values (both signed), and 16 bits of each MinHash value."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         least = np.minimum(least, (_FACTORS[:, None] * hashes[None, at : at + 4096]).min(axis=1))
@@ -47,25 +49,31 @@ def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     for column in least.reshape(BANDS, ROWS).T:
         value = (value ^ column) * _MIX
         value ^= value >> np.uint64(29)
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64)), value.view(np.int64)
-
-
-def _fields(df: DataFrame, count: int) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields[:count])
+    node = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
+    return node, value.view(np.int64), ((least * _MIX) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def sketches(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` without its text, with ``node`` and ``bands``. Null texts are empty."""
-    keep = [c for c in docs.columns if c != text]
-    df = docs.select(*keep, empty_texts(docs, text).alias("__text"))
+def sketches(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep``, node, fp, bands, size and sig of each row. Null texts are empty."""
+    df = rows.select(F.struct(*keep).alias("__own"), empty_texts(rows, text).alias("__text"))
+    own = df.schema["__own"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [sketch(shingles(t)) for t in b.column(len(keep)).to_pylist()]
-            bands = pa.array([v for _, v in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([n for n, _ in made], pa.int64()), bands], [*keep, "node", "bands"])
-
-    return df.mapInArrow(run, f"{_fields(df, len(keep))}node long, bands array<long>")
+            node, fp, bands, size, sig = [], [], [], [], []
+            for t in b.column(1):
+                hashes = shingle_hashes(t.as_py(), WIDTH)
+                fp.append(majority(hashes))
+                hashes = np.unique(hashes)
+                n, v, s = sketch(hashes)
+                node.append(n)
+                bands.append(v)
+                size.append(len(hashes))
+                sig.append(s)
+            fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), fps, pa.array(bands, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], ["__own", "node", "fp", "bands", "size", "sig"])
+
+    return df.mapInArrow(run, f"__own {own}, node long, fp long, bands array<long>, size long, sig binary").select("__own.*", "node", "fp", "bands", "size", "sig")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -73,7 +81,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or "").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py() or "").tobytes() for t in b.column(1)], pa.binary())], ["node", "set"])
 
     return texts.mapInArrow(run, "node long, set binary")
 
@@ -88,74 +96,139 @@ def near(x: np.ndarray, y: np.ndarray) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. The pairs of a hot node are dealt over ``SALTS`` keys."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    pairs = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     left = pairs.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     both = pairs.join(left, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [near(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _hopeful(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+    """Whether each row of x and of y (MinHash values) may reach the threshold: in size, and in the share of equal values."""
+    ok = OVER * np.maximum(size_x, size_y) <= UNDER * np.minimum(size_x, size_y)
+    ok[ok] = (x[ok] == y[ok]).sum(axis=1) >= LEAST_EQUAL
+    return ok
+
+
+def hopeful(pairs: DataFrame) -> DataFrame:
+    """(a, b, equal) of the rows (a, b, sig_a, sig_b, size_a, size_b) that may reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for k in (2, 3))
+                ok = _hopeful(x, y, part.column(4).to_numpy(), part.column(5).to_numpy())
+                equal = (x[ok] == y[ok]).sum(axis=1).astype(np.int64)
+                keep = pa.array(ok)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(equal)], ["a", "b", "equal"])
+
+    return pairs.select("a", "b", "sig_a", "sig_b", "size_a", "size_b").mapInArrow(run, "a long, b long, equal long")
+
+
 def across(members: DataFrame) -> DataFrame:
-    """(a, b): the pairs of nodes of one bucket ``v`` that are in different components ``root``."""
-    sizes = members.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("v")
-    mixed = members.join(sizes, "v").select("v", "root", "node").repartition("v").sortWithinPartitions("v", "root")
+    """(a, b): pairs of nodes of one group ``v`` that are in different components ``root`` and may reach the threshold.
+
+    Columns: v, root, node, size, sig. A group is cut into blocks of about ``BLOCK``, and a task compares one block with itself
+    or with one other.
+    """
+    sizes = members.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("v", "blocks")
+    dealt = members.join(sizes, "v").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    dealt = dealt.withColumn("t", F.explode(others)).select("v", "t.i", "t.j", "mine", "root", "node", "size", "sig")
+    dealt = dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, groups = None, {}
+        held: list[tuple] = []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            before = np.zeros(0, np.int64)
-            for group in map(np.array, groups.values()):
-                rows = max(1, 1_000_000 // max(1, len(before)))
-                for at in range(0, len(group) if len(before) else 0, rows):
-                    part = group[at : at + rows]
-                    x, y = np.repeat(part, len(before)), np.tile(before, len(part))
+            i, j = held[0][1], held[0][2]
+            mine, root, node, size = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5, 6))
+            sig = np.frombuffer(b"".join(r[7] for r in held), "<u2").reshape(-1, BANDS * ROWS)
+            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            step = max(1, 50_000 // max(1, len(right)))
+            for at in range(0, len(left), step):
+                part = left[at : at + step]
+                x, y = np.repeat(part, len(right)), np.tile(right, len(part))
+                apart = (root[x] != root[y]) & ((node[x] < node[y]) if i == j else True)
+                x, y = x[apart], y[apart]
+                ok = _hopeful(sig[x], sig[y], size[x], size[y])
+                x, y = node[x[ok]], node[y[ok]]
+                if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-                before = np.concatenate([before, group])
 
         for b in batches:
-            for v, root, node in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if v != bucket:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
                     yield from pairs()
-                    bucket, groups = v, {}
-                groups.setdefault(root, []).append(node)
-        yield from pairs()
-
-    return mixed.mapInArrow(run, "a long, b long").distinct()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield from pairs()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def components(rows: DataFrame, key: list[str], text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """``key`` and ``more`` of each row with ``root``: equal for rows that links connect. ``key`` tells texts apart, without nulls."""
+    own = materialize(sketches(rows, [*key, *more], text), "sketches")
+    nodes = materialize(own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "bands", "size", "sig")]), "nodes")
+    grouped = nodes.select("node", F.explode("bands").alias("v"))
+    lead = materialize(grouped.groupBy("v").agg(F.min("node").alias("m"), F.max("node").alias("most")).where("m < most").select("v", "m"), "groups")
+    members = materialize(grouped.join(lead, "v").select("v", "m", "node"), "members")
+    # Fingerprints that SimHash links, each as the smallest of its nodes; nodes of one fingerprint follow their smallest.
+    shared = nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("m"))
+    links = links_of(shared.select("fp"))
+    close = links.join(shared.select(F.col("fp").alias("a"), F.col("m").alias("x")), "a").join(shared.select(F.col("fp").alias("b"), F.col("m").alias("y")), "b").select("x", "y")
+    same = nodes.join(shared, "fp").where("node <> m").select(F.col("m").alias("x"), F.col("node").alias("y"))
+    found = members.where("m <> node").select(F.col("m").alias("x"), F.col("node").alias("y")).unionByName(close).unionByName(same)
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for end in ("a", "b"):
+        found = found.join(nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("size").alias(f"size_{end}")), end)
+    star = materialize(hopeful(found), "candidates")
 
-
-def components(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """``rows`` without its text, with ``root``: equal for rows that links connect. ``key`` names columns that tell texts apart."""
-    own = materialize(sketches(rows, text), "sketches")
-    dealt = own.select("node", F.explode("bands").alias("v"))
-    least = materialize(dealt.groupBy("v").agg(F.min("node").alias("m"), F.max("node").alias("most")).where("m < most").select("v", "m"), "buckets")
-    members = materialize(dealt.join(least, "v").select("v", "m", "node").distinct(), "members")
     # One row of each node that has a candidate lends its text.
-    lent = own.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct(*key)).alias("k")).select("node", "k.*")
+    wanted = members.select("node").union(star.select("a")).union(star.select("b")).distinct()
+    lent = own.join(wanted, "node").groupBy("node").agg(F.min(F.struct(*key)).alias("k")).select("node", "k.*")
     sets = materialize(shingle_sets(rows.join(materialize(lent, "lent"), key).select("node", text)).dropDuplicates(["node"]), "sets")
-    links = materialize(verified(members.where("m <> node").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct(), sets), "star")
-    roots = smallest_reachable(links)
-    placed = members.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
-    # The smallest node of a bucket was compared with all others already.
-    more = materialize(verified(across(placed).join(members.select(F.col("m").alias("a"), F.col("node").alias("b")).distinct(), ["a", "b"], "left_anti"), sets), "across")
-    if not more.isEmpty():
-        roots = smallest_reachable(links.union(more))
-    return own.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+
+    best = star.groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a")).select("a", "b")
+    good = materialize(verified(best, sets), "links")
+    roots = smallest_reachable(good)
+    tried = best
+    for pairs in (lambda: star.select("a", "b"), lambda: across(members.join(roots, "node", "left").join(nodes.select("node", "size", "sig"), "node").select("v", F.coalesce("root", "node").alias("root"), "node", "size", "sig"))):
+        fresh = materialize(_apart(pairs(), roots).join(tried, ["a", "b"], "left_anti"), "apart")
+        links = materialize(verified(fresh, sets), "links")
+        if not links.isEmpty():
+            good = good.unionByName(links)
+            roots = smallest_reachable(good)
+        tried = star.select("a", "b")
+    discard(sets)
+    return own.select(*key, *more, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that with the smallest id; one without an id if none has any.
 
     Rows are told apart by hashes of all their columns and of the text, not by id: null and repeated ids lose no text, and
-    a row that is there twice stays once.
+    a row that is there twice stays once. Null, empty and blank texts are one node; an empty table stays empty. Names that
+    begin with two underscores are the operator's own.
     """
     key = ["__all", "__text_hash"]
-    hashes = [F.xxhash64(*docs.columns).alias(key[0]), F.xxhash64(F.lit(1), text).alias(key[1])]
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), *key)).alias("first")
-    keep = components(docs.select(doc_id, text, *hashes), key, text).groupBy("root").agg(first).select(*[f"first.{k}" for k in key])
+    hashes = [F.xxhash64(*docs.columns).alias(key[0]), F.xxhash64(F.lit(1), docs[f"`{text}`"]).alias(key[1])]
+    rows = docs.select(docs[f"`{doc_id}`"].alias("__id"), docs[f"`{text}`"].alias("__text"), *hashes)
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), *key)).alias("first")
+    keep = components(rows, key, "__text", ("__id",)).groupBy("root").agg(first).select(*[f"first.{k}" for k in key])
     return docs.select("*", *hashes).join(keep, key, "left_semi").dropDuplicates(key).select(*docs.columns)

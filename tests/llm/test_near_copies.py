@@ -51,10 +51,13 @@ def test_stage_keeps_one_of_each_group_at_080(spark):
     assert sorted(r["doc_id"] for r in got) == sorted(set(root))
 
 
-def test_every_pair_of_a_bucket_is_looked_at(spark):
-    rows = [(1, n, 10 if n < 3 else n) for n in range(6)] + [(2, n, 10) for n in range(3)]
-    got = near_copies.across(spark.createDataFrame(rows, "v long, node long, root long")).collect()
-    assert {(r["a"], r["b"]) for r in got} == {(a, b) for b in range(6) for a in range(b) if b >= 3}
+def test_every_pair_of_a_bucket_is_looked_at(spark, monkeypatch):
+    sig = bytes(2 * near_copies.BANDS * near_copies.ROWS)
+    rows = [(1, n, 10 if n < 3 else n, 5, sig) for n in range(6)] + [(2, n, 10, 5, sig) for n in range(3)]
+    for block in (2048, 2):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        got = near_copies.across(spark.createDataFrame(rows, "v long, node long, root long, size long, sig binary")).collect()
+        assert {(r["a"], r["b"]) for r in got} == {(a, b) for b in range(6) for a in range(b) if b >= 3}
 
 
 def test_null_and_repeated_ids_lose_no_text(spark):
