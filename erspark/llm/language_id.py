@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from erspark.llm.common import empty_texts, read_table
+from erspark.llm.common import empty_texts, kept_columns, packed, read_table, unpacked
 
 #: Presence is kept by hash in so many cells for each n; 1-grams and 2-grams of common scripts hardly ever collide.
 CELLS = 1 << 15
@@ -25,10 +25,17 @@ SPACE = 0x20
 
 @dataclass(frozen=True)
 class Bounds:
-    """Documented bounds of the sample that the classifier is fitted on; every text is then scored."""
+    """Documented bounds of the sample that the classifier is fitted on; every text is then scored.
+
+    Of each language ``per_language`` different texts at most, fewer if there are so many languages that ``texts`` would be
+    exceeded (one at least: no language is left out); of each language ``chars`` characters at most, and no text of more than
+    ``longest``, unless the language has no shorter one.
+    """
 
     per_language: int = 300
-    languages: int = 200
+    texts: int = 60_000
+    chars: int = 2_000_000
+    longest: int = 100_000
     landmarks: int = 160
     ridge: float = 1e-2
 
@@ -123,50 +130,58 @@ def fit(texts: list[str], langs: list[str], bounds: Bounds = Bounds()) -> Model
     return model
 
 
-def sample(labelled: DataFrame, key: str, bounds: Bounds) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled texts: of each language those whose key hashes lowest.
+def sample(labelled: DataFrame, bounds: Bounds) -> tuple[list[str], list[str]]:
+    """A bounded sample of labelled texts (columns lang and text): of each language the different texts that hash lowest.
 
-    Keys are picked without their texts; the broadcast set of picked keys has languages x per_language rows at most.
+    Texts are picked by hash and length, without being moved; then one copy of each picked text comes to the driver. Copies
+    are counted as one before the ranking, so neither a hot text nor repeated rows can enlarge the sample. Only the least
+    long text of a language can break the bound on characters, where all its texts do.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64(key), key)
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bounds.languages).select("lang")
-    picked = labelled.select(key, "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= bounds.per_language)
-    picked = picked.join(F.broadcast(common), "lang", "left_semi").select(F.col(key).alias("picked"), F.col("lang").alias("picked_lang"))
-    rows = labelled.join(F.broadcast(picked), (F.col(key) == F.col("picked")) & (F.col("lang") == F.col("picked_lang"))).select(key, "lang", "text").collect()
-    rows.sort(key=lambda r: (r["lang"], str(r[key]), r["text"]))
+    known = labelled.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).groupBy("lang", "h").agg(F.min("n").alias("n"))
+    languages = known.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    per = max(1, min(bounds.per_language, bounds.texts // max(1, languages)))
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("n") <= bounds.longest, 0).otherwise(F.col("n")), "h")
+    ranked = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per)
+    ranked = ranked.withColumn("sum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    picked = ranked.where((F.col("rank") == 1) | ((F.col("sum") <= bounds.chars) & (F.col("n") <= bounds.longest))).select(F.col("lang").alias("picked_lang"), F.col("h").alias("picked"))
+    # texts x 2 values at most: the bound that Bounds states.
+    rows = labelled.join(F.broadcast(picked), (F.xxhash64("text") == F.col("picked")) & (F.col("lang") == F.col("picked_lang"))).groupBy("lang", "picked").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["lang"], r["picked"]))
     order = np.random.default_rng(7).permutation(len(rows))
     return [rows[i]["text"] for i in order], [rows[i]["lang"] for i in order]
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with lang_pred and score; ``und`` and 0 without a letter or a model."""
+    """``docs`` without its text, with lang_pred and score; ``und`` and 0 without a letter or a model.
+
+    The caller's columns named lang_pred or score give way. Of languages with equal scores the first by name is taken.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # landmarks x cells: bounded by Bounds
-    keep = [c for c in docs.columns if c != text]
-    df = docs.select(*keep, empty_texts(docs, text).alias("__text"))
+    keep = kept_columns(docs, text, "lang_pred", "score")
+    df = packed(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = b.column(len(keep))
+            texts = b.column(1)
             langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
             for at in range(0, len(texts) if m else 0, 128):
-                cells = [presence(t) for t in texts.slice(at, 128).to_pylist()]
+                cells = [presence(t.as_py()) for t in texts.slice(at, 128)]
                 rows = [i for i, c in enumerate(cells) if c is not None]
                 if rows:
                     f = m.scores([cells[i] for i in rows])
                     best = f.argmax(axis=1)
                     langs[[at + i for i in rows]] = [m.languages[k] for k in best]
                     scores[[at + i for i in rows]] = np.clip(f[np.arange(len(rows)), best], 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["__own", "lang_pred", "score"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields[: len(keep)])
-    return df.mapInArrow(run, f"{fields}lang_pred string, score double")
+    return df.mapInArrow(run, f"__own {df.schema['__own'].dataType.simpleString()}, lang_pred string, score double").select(*unpacked(keep), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, whose language the model tells; ``und`` goes."""
-    own = docs.withColumns({"__doc": F.struct(*docs.columns), "__body": empty_texts(docs, text)}).select("__doc", "__body")
+    own = docs.select(F.struct(*docs.columns).alias("__doc"), empty_texts(docs, text).alias("__body"))
     return predict(own, model, "__body").where("lang_pred <> 'und'").select("__doc.*")
 
 
@@ -177,14 +192,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame, doc_id: str = "doc_id", bounds: Bounds = Bounds()) -> Model | None:
     """The model of a table with columns doc_id, text and lang, from documents that are not held out."""
     ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)
-    return fit(*sample(docs.where(ok).select(doc_id, "lang", "text"), doc_id, bounds), bounds)
+    return fit(*sample(docs.where(ok).select("lang", "text"), bounds), bounds)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text of ``documents``.
 
-    Null texts and texts without a letter are ``und`` with score 0; a null id is not held out and not learned from;
-    repeated rows stay; an empty table gives no rows; without a labelled text all are ``und``.
+    Null texts and texts without a letter are ``und`` with score 0; a null id is not held out and not learned from; a text of
+    any length is read whole; repeated rows stay and are learned from once; of equal scores the first language by name is
+    taken; an empty table gives no rows; without a labelled text all are ``und``. Columns besides doc_id, lang and text are
+    not read.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), learn(docs))
