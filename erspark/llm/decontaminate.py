@@ -3,10 +3,15 @@
 A passage within k edits of an item of m characters shares at least m + 1 - q - kq of its q-grams, on diagonals that lie
 within k of each other. Shared q-grams are counted in overlapping bands of diagonals; a band that reaches the bound is
 verified by alignment inside the band.
+
+Not all q-grams of an item need to be looked up. An edit spoils q neighbours at most, so k edits spoil kq at most, and none of
+k edits can spoil all of a set that takes more than k of them to be covered by runs of q. Each item is indexed by its rare
+q-grams, and by frequent ones only until it has such a set: a stem that thousands of items share costs nothing where it stands.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,20 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erspark.llm.common import read_table
+from erspark.llm.common import materialize, read_table
 
 HIT = "array<struct<item_id:long,start:long,end:long,edits:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 SPACE = np.uint32(0x20)
+#: Bands of one document, with items of one length, from which on they are aligned together.
+MANY = 8
 
 
 @dataclass(frozen=True)
 class Budget:
-    """q-gram length, edits per character of an item, and how many item characters one broadcast block may hold."""
+    """q-gram length, edits per character of an item, and what bounds memory: characters of items in one broadcast block,
+    blocks that are alive at a time, postings that a q-gram has before it counts as frequent, postings looked at in one go."""
 
     q: int = 8
     rate: float = 0.08
     block_chars: int = 4_000_000
+    chain: int = 8
+    frequent: int = 32
+    slice: int = 1_000_000
 
     def edits(self, m: int) -> int:
         """Edits allowed for an item of m characters, so that the lemma still asks for one shared q-gram at least."""
@@ -71,37 +82,64 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def spoiling(places: np.ndarray, q: int, most: int | None = None) -> int:
+    """The fewest edits that spoil the q-grams at all of these places (ascending), or one more than ``most``."""
+    until, edits = -1, 0
+    for p in places.tolist():
+        if p > until:
+            until, edits = p + q - 1, edits + 1
+            if most is not None and edits > most:
+                break
+    return edits
+
+
 class Index:
-    """The q-grams of a block of benchmark items."""
+    """The rarest q-grams of a block of benchmark items. Items of equal text are one, with several ids."""
 
     FILTER = 22
 
     def __init__(self, items: list[tuple[int, str]], budget: Budget) -> None:
-        self.budget, self.ids, self.codes = budget, [], []
+        self.budget = budget
+        texts: dict[bytes, list[int]] = {}
         for i, t in items:
             codes = normal(t)[0]
             if len(codes):
-                self.ids.append(i)
-                self.codes.append(codes)
-        hashes = [grams(c, budget.q) for c in self.codes]
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        order = np.argsort(every, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.keys, self.first = np.unique(every[order], return_index=True)
-        self.until = np.append(self.first[1:], len(every))
-        self.filter = np.zeros(1 << self.FILTER, bool)
-        self.filter[(self.keys >> np.uint64(64 - self.FILTER)).astype(np.int64)] = True
-        m = np.array([len(c) for c in self.codes], np.int64)
-        self.length = m
+                texts.setdefault(codes.tobytes(), []).append(i)
+        self.ids = list(texts.values())
+        self.codes = [np.frombuffer(t, np.uint32) for t in texts]
+        self.hashes = [grams(c, budget.q) for c in self.codes]
+        self.length = m = np.array([len(c) for c in self.codes], np.int64)
         self.k = np.array([budget.edits(int(x)) for x in m], np.int64)
-        self.least = np.maximum(1, m + 1 - budget.q - self.k * budget.q)
         self.stride = 2 * self.k + 1
-        self.short = [n for n, x in enumerate(m) if x < budget.q]
+        every = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(self.hashes)), [len(h) for h in self.hashes])
+        place = np.concatenate([np.arange(len(h)) for h in self.hashes]) if self.hashes else np.zeros(0, np.int64)
+        _, where, count = np.unique(every, return_inverse=True, return_counts=True)
+        often = count[where] if len(every) else np.zeros(0, np.int64)
+        # Of each item the rare q-grams, and of the others the rarest, until edits within budget cannot spoil all of them.
+        begins = np.concatenate(([0], np.cumsum([len(h) for h in self.hashes]))).astype(np.int64)
+        chosen = [np.zeros(0, np.int64)]
+        for n, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+            order = np.argsort(often[a:b], kind="stable")
+            low, high = int((often[a:b] <= budget.frequent).sum()), b - a
+            while low < high:  # more q-grams never take fewer edits
+                middle = (low + high) // 2
+                low, high = (low, middle) if spoiling(np.sort(order[:middle]), budget.q) > self.k[n] else (middle + 1, high)
+            chosen.append(a + order[:low])
+        taken = np.concatenate(chosen)
+        self.least = np.maximum(1, np.bincount(item[taken], minlength=len(m)) - self.k * budget.q) if len(m) else np.zeros(0, np.int64)
+        taken = taken[np.argsort(every[taken], kind="stable")]
+        self.item, self.place = item[taken], place[taken]
+        self.keys, self.first = np.unique(every[taken], return_index=True)
+        self.until = np.append(self.first[1:], len(taken))
+        self.filter = np.zeros(1 << self.FILTER, bool)
+        self.filter[(self.keys >> np.uint64(64 - self.FILTER)).astype(np.int64)] = True
+        self.short = {codes_text(c): n for n, c in enumerate(self.codes) if len(c) < budget.q}
+        self.short_words = sorted({t.count(" ") + 1 for t in self.short})
 
     def search(self, text: str) -> list[dict]:
-        """Every item that occurs in the text within its edit budget: one hit for each item, that with the fewest edits."""
+        """Every item that occurs in the text within its edit budget: one hit for each item, that with the fewest edits, of
+        those the first."""
         codes, at = normal(text)
         best: dict[int, tuple[int, int, int]] = {}
 
@@ -109,15 +147,19 @@ class Index:
             if n not in best or (edits, start) < (best[n][2], best[n][0]):
                 best[n] = (start, end, edits)
 
-        for n in self.short:  # no q-gram: exact occurrences as whole words
-            spot = (" " + codes_text(codes) + " ").find(" " + codes_text(self.codes[n]) + " ")
-            if spot >= 0:
-                found(n, spot, spot + int(self.length[n]), 0)
-        for n, band in self.bands(codes):
+        if self.short:  # no q-gram: exact occurrences as whole words
+            words = codes_text(codes).split(" ")
+            starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+            for width in self.short_words:
+                for i in range(len(words) - width + 1):
+                    n = self.short.get(" ".join(words[i : i + width]))
+                    if n is not None:
+                        found(n, int(starts[i]), int(starts[i]) + int(self.length[n]), 0)
+        for n, band in self.near(codes, self.bands(codes)):
             hit = self.verify(codes, n, band)
             if hit:
                 found(n, *hit)
-        return [{"item_id": self.ids[n], "start": int(at[s]), "end": int(at[e - 1]) + 1, "edits": d} for n, (s, e, d) in sorted(best.items())]
+        return [{"item_id": i, "start": int(at[s]), "end": int(at[e - 1]) + 1, "edits": d} for n, (s, e, d) in sorted(best.items()) for i in self.ids[n]]
 
     def bands(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """(item, band) pairs with as many shared q-grams as the lemma asks for; band b holds diagonals from b * stride on,
@@ -132,16 +174,47 @@ class Index:
         if not len(where):
             return []
         counts = self.until[spot] - self.first[spot]
-        rows = np.repeat(self.first[spot], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        item = self.item[rows]
-        diagonal = np.repeat(where, counts) - self.place[rows]
-        band = diagonal // self.stride[item]
-        low = band.min(initial=0) - 1
-        width = int(band.max(initial=0) - low + 1)
-        keys, n = np.unique(np.concatenate((item * width + band - low, item * width + band - 1 - low)), return_counts=True)
+        cuts = np.searchsorted(np.cumsum(counts) // self.budget.slice, np.arange(int(counts.sum()) // self.budget.slice + 1), side="right")
+        low = int(-self.length.max() // self.stride.min()) - 2
+        width = len(codes) - low + 3
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(spot)], strict=True):
+            if a < b:
+                c = counts[a:b]
+                rows = np.repeat(self.first[spot[a:b]] - np.cumsum(c) + c, c) + np.arange(c.sum())
+                item = self.item[rows]
+                band = (np.repeat(where[a:b], c) - self.place[rows]) // self.stride[item]
+                both = np.concatenate((keys, item * width + band - low, item * width + band - 1 - low))
+                weight = np.concatenate((n, np.ones(2 * len(item), np.int64)))
+                keys, back = np.unique(both, return_inverse=True)
+                n = np.bincount(back, weight, len(keys)).astype(np.int64)
         keys = keys[n >= self.least[keys // width]]
         return [(int(x // width), int(x % width + low)) for x in keys]
 
+    def hopeful(self, n: int, region: np.ndarray) -> bool:
+        """Whether edits within budget can spoil all q-grams of an item that a region lacks."""
+        lacks = np.flatnonzero(~np.isin(self.hashes[n], grams(region, self.budget.q)))
+        return spoiling(lacks, self.budget.q, int(self.k[n])) <= self.k[n]
+
+    def near(self, codes: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The bands that have an alignment within budget, or may have: many items of one length are aligned at once."""
+        alike: dict[int, list[tuple[int, int]]] = {}
+        for n, band in found:
+            alike.setdefault(int(self.length[n]), []).append((n, band))
+        out = []
+        for m, group in alike.items():
+            if len(group) < MANY:
+                out += group
+                continue
+            k, stride = int(self.k[group[0][0]]), int(self.stride[group[0][0]])
+            for at in range(0, len(group), 1024):
+                part = group[at : at + 1024]
+                low = np.array([band * stride for _, band in part], np.int64)
+                items = np.stack([self.codes[n] for n, _ in part])
+                ok = banded_many(items, codes, low, 2 * stride, k) <= k
+                out += [x for x, good in zip(part, ok.tolist(), strict=True) if good]
+        return out
+
     def verify(self, codes: np.ndarray, n: int, band: int) -> tuple[int, int, int] | None:
         """(start, end, edits) of the best alignment of an item in a band, if it is within budget."""
         item, m, k = self.codes[n], int(self.length[n]), int(self.k[n])
@@ -152,6 +225,8 @@ class Index:
         spot = region.tobytes().find(item.tobytes())
         if spot >= 0 and spot % 4 == 0:
             return first + spot // 4, first + spot // 4 + m, 0
+        if not self.hopeful(n, region):
+            return None
         end, edits = banded(item, region, low - first, high - first, k)
         if edits > k:
             return None
@@ -191,6 +266,32 @@ def banded(item: np.ndarray, region: np.ndarray, low: int, high: int, k: int, an
     return low + best + len(item), int(cost[best])
 
 
+def banded_many(items: np.ndarray, codes: np.ndarray, low: np.ndarray, wide: int, k: int) -> np.ndarray:
+    """Edits of the best alignment of each item (a row) to a stretch of ``codes`` on diagonals low - k to low + wide - 1 + k.
+
+    The same recurrence as ``banded``, for items of one length; those that are beyond k leave the matrix.
+    """
+    steps = np.arange(wide + 2 * k)
+    far, out = k + 1, np.full(len(items), k + 1)
+    rows, place = np.arange(len(items)), low[:, None] - k + steps
+    cost = np.where((place >= 0) & (place <= len(codes)), 0, far)
+    for i in range(items.shape[1]):
+        at = place + i
+        ok = (at >= 0) & (at < len(codes))
+        other = codes[np.clip(at, 0, len(codes) - 1)]
+        match = np.where(ok, cost + (other != items[rows, i][:, None]), far)
+        skip = np.concatenate((cost[:, 1:], np.full((len(rows), 1), far)), axis=1) + 1
+        cost = np.minimum.accumulate(np.minimum(match, skip) - steps, axis=1) + steps
+        cost = np.where((at + 1 >= 0) & (at < len(codes)), np.minimum(cost, far), far)
+        alive = cost.min(axis=1) <= k
+        if not alive.all():
+            rows, place, cost = rows[alive], place[alive], cost[alive]
+            if not len(rows):
+                return out
+    out[rows] = cost.min(axis=1)
+    return out
+
+
 def blocks(benchmark: DataFrame, item_id: str, text: str, budget: Budget) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
@@ -205,40 +306,61 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, budget: Budget) -> Ite
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: Budget = Budget(), out: str = "hits") -> DataFrame:
-    """``docs`` with ``hits`` (or another name): the benchmark items found in each whole text, as item, start, end (code points) and edits.
+    """``docs`` with ``hits`` (or another name, in place of a column called so): the benchmark items found in each whole text,
+    as item, start, end (code points) and edits.
 
-    Each block of items is a broadcast of bounded size; a benchmark of many blocks passes the documents block after block
-    in one narrow chain, without a shuffle. Null texts hold nothing; null or blank items match nothing.
+    Each block of items is a broadcast of bounded size. Documents pass block after block in one narrow chain, without a
+    shuffle; after ``budget.chain`` blocks they are written and those broadcasts dropped, so that memory does not grow with
+    the benchmark. Null texts hold nothing; null or blank items match nothing; items of equal text are all named.
     """
-    df = docs.withColumn(out, F.array().cast(HIT))
-    for block in blocks(benchmark, item_id, item_text, budget):
-        df = _search(df, text, block, budget, out)
-    return df
+    columns = docs.columns
+    df = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("__doc"), docs[f"`{text}`"].alias("__text"), F.array().cast(HIT).alias("__found"))
+    alive = []
+    for n, block in enumerate(blocks(benchmark, item_id, item_text, budget)):
+        if n and n % budget.chain == 0:
+            df = materialize(df, "searched")
+            for shared in alive:
+                shared.destroy()
+            alive = []
+        alive.append(df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, budget)))
+        df = _search(df, alive[-1])
+    return df.select(*[F.col("__doc")[c].alias(c) for c in columns if c != out], F.col("__found").alias(out))
+
+
+#: Indexes of the blocks that this worker process has at hand; a task builds none that an earlier one has built.
+_INDEXES: dict[str, Index] = {}
+
 
+def _index(key: str, block: list[tuple[int, str]], budget: Budget) -> Index:
+    if key not in _INDEXES:
+        while len(_INDEXES) >= budget.chain:
+            _INDEXES.pop(next(iter(_INDEXES)))
+        _INDEXES[key] = Index(block, budget)
+    return _INDEXES[key]
 
-def _search(df: DataFrame, text: str, block: list[tuple[int, str]], budget: Budget, out: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast((block, budget))
-    t, h = df.columns.index(text), df.columns.index(out)
 
+def _search(df: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        index = _index(*shared.value)
         for b in batches:
-            now = [old + (index.search(x) if x else []) for x, old in zip(b.column(t).to_pylist(), b.column(h).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:h], pa.array(now, _HIT), *b.columns[h + 1 :]], b.schema.names)
+            now = [old.as_py() + (index.search(x.as_py()) if x.as_py() else []) for x, old in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(now, _HIT)], b.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    return contaminated(docs, benchmark, text, out="__hits").where(F.size("__hits") == 0).drop("__hits")
+    return contaminated(docs, benchmark, text, out="__hits").where(F.size("__hits") == 0).select(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every whole text of ``documents``: doc_id, contaminated, n_items, hits.
 
-    hits is ``item:start:end:edits`` of each item found, by item, comma-joined. Null and empty texts are clean; repeated
-    rows stay; an empty benchmark leaves every document clean.
+    hits is ``item:start:end:edits`` of each item found, by item, comma-joined; of places with equally few edits the first.
+    Null and empty texts are clean; a text of any length is searched whole; repeated rows and repeated items stay; an empty
+    benchmark leaves every document clean, and an empty table gives no rows. Columns besides doc_id, item_id and text are not
+    read.
     """
     df = contaminated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
     each = F.transform(F.array_sort("hits"), lambda h: F.concat_ws(":", h["item_id"], h["start"], h["end"], h["edits"]))
