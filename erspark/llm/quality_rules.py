@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erspark.llm.common import SPACE_CHARS, empty_texts, materialize, read_table
+from erspark.llm.common import SPACE_CHARS, kept_columns, materialize, packed, read_table, unpacked
 
 
 @dataclass(frozen=True)
@@ -31,18 +31,21 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(inner) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, "[\\x20\\x09-\\x0D]+"))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """``docs`` without its text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed.
 
-    Null texts have no words. Rows come back one for one. n_repeat_words counts the words in 3-word windows that occur
-    twice or more: windows are compared by 64-bit hash, only a text with an equal pair pays for sorting them, and none of
-    them leaves its row.
+    Null texts have no words. Rows come back one for one; the caller's columns of these names give way. n_repeat_words counts
+    the words in 3-word windows that occur twice or more: windows are compared by 64-bit hash, only a text with an equal pair
+    pays for sorting them, and none of them leaves its row.
     """
-    body = empty_texts(docs, text)
-    keep = [c for c in docs.columns if c != text]
+    keep = kept_columns(docs, text, *MEASURES)
+    body = F.col("__text")
     symbols = "#*$%&|<>"
-    df = docs.select(
-        *keep,
+    df = packed(docs, keep, text).select(
+        "__own",
         words_of(body).alias("words"),
         F.length(F.translate(body, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, symbols, ""))).cast("long").alias("n_symbols"),
@@ -59,7 +62,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("at", F.array_sort(F.transform(F.filter("sorted", lambda x, j: F.coalesce(same(x, j), F.lit(False))), lambda x: x["i"]))).drop("sorted")
     steps = F.transform("at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("at", j + 1) - p, F.lit(3))))
     df = df.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long")).drop("at")
-    return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return df.select(*unpacked(keep), *MEASURES)
 
 
 def soft_failed(p: HostPolicy) -> Column:
@@ -75,9 +79,9 @@ def judge_hosts(measured: DataFrame, host: str, p: HostPolicy) -> DataFrame:
     The beta prior is fitted by moments to the rates of all hosts, each weighted by its documents. Where the rates do not
     differ more than chance explains, the prior is as heavy as the whole corpus and every host gets the corpus's rate.
     """
-    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"), F.sum(soft_failed(p).cast("long")).alias("host_failed"))
+    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("host_docs"), F.sum(soft_failed(p).cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.sum(F.col("host_docs") * rate * rate).alias("q"), F.sum(F.col("host_docs") * F.col("host_docs")).alias("n2"), F.count("*").alias("k"))
+    prior = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.sum(F.col("host_docs") * rate * rate).alias("q"), F.count("*").alias("k"))
     m = F.try_divide("f", "n")
     spread = F.try_divide("q", "n") - m * m
     chance = m * (1 - m) * F.try_divide(F.col("k"), F.col("n"))
@@ -89,27 +93,32 @@ def judge_hosts(measured: DataFrame, host: str, p: HostPolicy) -> DataFrame:
     return hosts.select("host", "host_docs", posterior.alias("host_rate"), (posterior > p.max_rate).alias("host_bad"))
 
 
+VERDICTS = ("host_docs", "host_rate", "host_bad", "soft_failed", "kept")
+
+
 def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", policy: HostPolicy = HostPolicy()) -> DataFrame:
     """Measures, host verdicts and ``kept`` for every row of ``docs`` (without its text).
 
     The measures are written once, as they are needed for the hosts and again for the documents. A hot host is summed
-    inside each task first, and its documents are the side of the join that Spark may split.
+    inside each task first, and its documents are the side of the join that Spark may split. The caller's columns named like
+    a measure or a verdict give way; a host column of such a name is still judged by.
     """
-    measured = materialize(measure(docs, text), "quality")
-    hosts = judge_hosts(measured, host, policy)
-    return (
-        measured.join(hosts, measured[host].eqNullSafe(hosts["host"]), "left")
-        .drop("host")
-        .withColumn("soft_failed", soft_failed(policy))
-        .withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed")))
-    )
+    keep = kept_columns(docs, text, *MEASURES, *VERDICTS)
+    own = docs.select(F.struct(F.lit(True).alias("__row"), *[docs[f"`{c}`"] for c in keep]).alias("__doc"), docs[f"`{host}`"].alias("__host"), docs[f"`{text}`"].alias("__body"))
+    measured = materialize(measure(own, "__body"), "quality")
+    hosts = judge_hosts(measured, "__host", policy)
+    judged = measured.join(hosts, measured["__host"].eqNullSafe(hosts["host"]), "left").withColumn("soft_failed", soft_failed(policy))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed")))
+    return judged.select(*[F.col("__doc")[c].alias(c) for c in keep], *MEASURES, *VERDICTS)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over every whole text of ``documents``; the host of a document is its source.
 
-    A document that fails a base rule goes; one that only fails a soft rule goes if its host is bad as well. Null texts
-    have no words and fail; a null source is a host of its own; repeated rows stay; an empty table gives no rows.
+    A document that fails a base rule goes; one that only fails a soft rule goes if its host is bad as well: a rate of
+    exactly the limit is not bad. Null and empty texts have no words and fail; a text of any length is measured whole; a null
+    source is a host of its own; repeated rows stay and count each; an empty table gives no rows. Columns besides doc_id,
+    source and text are not read.
     """
     df = apply_rules(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", F.round("host_rate", 6).alias("host_rate"), "host_bad")
