@@ -6,8 +6,9 @@ values. A pair at 0.8 agrees in no band with a chance of 3e-6 (``(1 - 0.8 ** ROW
 candidate is a link only if the similarity of the whole sets reaches the threshold.
 
 Sets are compared in rounds, and only between nodes that are in different components by then: first each node with the most
-similar of the nodes that lead its groups, then with the others of those, and at last with the rest of its groups. So a large
-group of copies costs no square of pairs. The share of equal MinHash values settles beforehand which pairs are far apart.
+similar of the nodes that lead its groups, then with the others of those, and at last, inside each group, with the rest of it.
+A group hands on a forest of links, not its pairs. The share of equal MinHash values settles beforehand which pairs are far
+apart. Joins that move texts or sets are merge joins at every size.
 """
 
 from __future__ import annotations
@@ -97,8 +98,8 @@ def near(x: np.ndarray, y: np.ndarray) -> bool:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. The pairs of a hot node are dealt over ``SALTS`` keys."""
     pairs = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    both = pairs.join(left, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+    both = pairs.join(left.hint("merge"), ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,11 +109,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _hopeful(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
-    """Whether each row of x and of y (MinHash values) may reach the threshold: in size, and in the share of equal values."""
-    ok = OVER * np.maximum(size_x, size_y) <= UNDER * np.minimum(size_x, size_y)
-    ok[ok] = (x[ok] == y[ok]).sum(axis=1) >= LEAST_EQUAL
-    return ok
+def _equal(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+    """Equal MinHash values of each row of x and of y, or 0 for a pair that is out of the threshold's reach: by its sizes, or
+    by too few equal values."""
+    equal = (x == y).sum(axis=1)
+    equal[(OVER * np.maximum(size_x, size_y) > UNDER * np.minimum(size_x, size_y)) | (equal < LEAST_EQUAL)] = 0
+    return equal
 
 
 def hopeful(pairs: DataFrame) -> DataFrame:
@@ -123,53 +125,57 @@ def hopeful(pairs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for k in (2, 3))
-                ok = _hopeful(x, y, part.column(4).to_numpy(), part.column(5).to_numpy())
-                equal = (x[ok] == y[ok]).sum(axis=1).astype(np.int64)
-                keep = pa.array(ok)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(equal)], ["a", "b", "equal"])
+                equal = _equal(x, y, part.column(4).to_numpy(), part.column(5).to_numpy())
+                keep = pa.array(equal > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(equal[equal > 0], pa.int64())], ["a", "b", "equal"])
 
     return pairs.select("a", "b", "sig_a", "sig_b", "size_a", "size_b").mapInArrow(run, "a long, b long, equal long")
 
 
 def across(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes of one group ``v`` that are in different components ``root`` and may reach the threshold.
+    """(a, b): links that connect the nodes of each group ``v`` that are near copies in different components ``root``.
 
-    Columns: v, root, node, size, sig. A group is cut into blocks of about ``BLOCK``, and a task compares one block with itself
-    or with one other.
+    Columns: v, band, root, node, size, sig, bands, set. A group is cut into blocks of about ``BLOCK``, and a task compares one
+    block with itself or with one other. A pair is looked at in the first band that it agrees in, while its ends are in
+    different components, and only if sizes and MinHash values leave it within reach.
     """
     sizes = members.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("v", "blocks")
     dealt = members.join(sizes, "v").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    dealt = dealt.withColumn("t", F.explode(others)).select("v", "t.i", "t.j", "mine", "root", "node", "size", "sig")
+    dealt = dealt.withColumn("t", F.explode(others)).select("v", "t.i", "t.j", "mine", "band", "root", "node", "size", "sig", "bands", "set")
     dealt = dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def pairs() -> Iterator[pa.RecordBatch]:
-            i, j = held[0][1], held[0][2]
-            mine, root, node, size = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5, 6))
-            sig = np.frombuffer(b"".join(r[7] for r in held), "<u2").reshape(-1, BANDS * ROWS)
-            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            step = max(1, 50_000 // max(1, len(right)))
-            for at in range(0, len(left), step):
-                part = left[at : at + step]
-                x, y = np.repeat(part, len(right)), np.tile(right, len(part))
-                apart = (root[x] != root[y]) & ((node[x] < node[y]) if i == j else True)
-                x, y = x[apart], y[apart]
-                ok = _hopeful(sig[x], sig[y], size[x], size[y])
-                x, y = node[x[ok]], node[y[ok]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        def links() -> list[tuple[int, int]]:
+            i, j, band = held[0][1], held[0][2], held[0][4]
+            mine, root, node, size = (np.array([r[k] for r in held], np.int64) for k in (3, 5, 6, 7))
+            sig = np.frombuffer(b"".join(r[8] for r in held), "<u2").reshape(-1, BANDS * ROWS)
+            bands = np.array([r[9] for r in held], np.int64)
+            sets = [np.frombuffer(r[10], np.uint64) for r in held]
+            out = []
+            for x in np.flatnonzero(mine == i).tolist():
+                y = np.flatnonzero((mine == j) & (root != root[x]) & ((node > node[x]) if i == j else True))
+                y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
+                equal = _equal(sig[y], sig[x][None, :], size[y], size[x])
+                for k in np.argsort(-equal, kind="stable")[: int((equal > 0).sum())].tolist():
+                    if root[y[k]] != root[x] and near(sets[x], sets[y[k]]):
+                        out.append((min(node[x], node[y[k]]), max(node[x], node[y[k]])))
+                        root[root == root[y[k]]] = root[x]
+            return out
+
+        def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
-                    yield from pairs()
+                    yield made(links())
                     held.clear()
                 held.append(row)
         if held:
-            yield from pairs()
+            yield made(links())
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -185,9 +191,9 @@ def components(rows: DataFrame, key: list[str], text: str = "text", more: tuple[
     """``key`` and ``more`` of each row with ``root``: equal for rows that links connect. ``key`` tells texts apart, without nulls."""
     own = materialize(sketches(rows, [*key, *more], text), "sketches")
     nodes = materialize(own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "bands", "size", "sig")]), "nodes")
-    grouped = nodes.select("node", F.explode("bands").alias("v"))
-    lead = materialize(grouped.groupBy("v").agg(F.min("node").alias("m"), F.max("node").alias("most")).where("m < most").select("v", "m"), "groups")
-    members = materialize(grouped.join(lead, "v").select("v", "m", "node"), "members")
+    grouped = nodes.select("node", F.posexplode("bands").alias("band", "v"))
+    lead = grouped.groupBy("v").agg(F.min("node").alias("m"), F.max("node").alias("most")).where("m < most").select("v", "m")
+    members = materialize(grouped.join(materialize(lead, "groups").hint("merge"), "v").select("v", "band", "m", "node"), "members")
     # Fingerprints that SimHash links, each as the smallest of its nodes; nodes of one fingerprint follow their smallest.
     shared = nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("m"))
     links = links_of(shared.select("fp"))
@@ -196,25 +202,24 @@ def components(rows: DataFrame, key: list[str], text: str = "text", more: tuple[
     found = members.where("m <> node").select(F.col("m").alias("x"), F.col("node").alias("y")).unionByName(close).unionByName(same)
     found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for end in ("a", "b"):
-        found = found.join(nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("size").alias(f"size_{end}")), end)
+        found = found.join(nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("size").alias(f"size_{end}")).hint("merge"), end)
     star = materialize(hopeful(found), "candidates")
 
     # One row of each node that has a candidate lends its text.
     wanted = members.select("node").union(star.select("a")).union(star.select("b")).distinct()
     lent = own.join(wanted, "node").groupBy("node").agg(F.min(F.struct(*key)).alias("k")).select("node", "k.*")
-    sets = materialize(shingle_sets(rows.join(materialize(lent, "lent"), key).select("node", text)).dropDuplicates(["node"]), "sets")
+    sets = materialize(shingle_sets(rows.join(materialize(lent, "lent").hint("merge"), key).select("node", text)).dropDuplicates(["node"]), "sets")
 
     best = star.groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a")).select("a", "b")
-    good = materialize(verified(best, sets), "links")
-    roots = smallest_reachable(good)
-    tried = best
-    for pairs in (lambda: star.select("a", "b"), lambda: across(members.join(roots, "node", "left").join(nodes.select("node", "size", "sig"), "node").select("v", F.coalesce("root", "node").alias("root"), "node", "size", "sig"))):
-        fresh = materialize(_apart(pairs(), roots).join(tried, ["a", "b"], "left_anti"), "apart")
-        links = materialize(verified(fresh, sets), "links")
-        if not links.isEmpty():
-            good = good.unionByName(links)
-            roots = smallest_reachable(good)
-        tried = star.select("a", "b")
+    first = materialize(verified(best, sets), "links")
+    roots = smallest_reachable(first)
+    second = materialize(verified(_apart(star, roots).join(best, ["a", "b"], "left_anti"), sets), "links")
+    placed = members.join(roots, "node", "left").select("v", "band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("v")
+    placed = placed.join(mixed, "v", "left_semi").join(nodes.select("node", "size", "sig", "bands").hint("merge"), "node").join(sets.hint("merge"), "node")
+    third = materialize(across(materialize(placed, "mixed")), "links")
+    if not (second.isEmpty() and third.isEmpty()):
+        roots = smallest_reachable(first.union(second).union(third))
     discard(sets)
     return own.select(*key, *more, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
@@ -231,4 +236,4 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = docs.select(docs[f"`{doc_id}`"].alias("__id"), docs[f"`{text}`"].alias("__text"), *hashes)
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), *key)).alias("first")
     keep = components(rows, key, "__text", ("__id",)).groupBy("root").agg(first).select(*[f"first.{k}" for k in key])
-    return docs.select("*", *hashes).join(keep, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return docs.select("*", *hashes).join(keep.hint("merge"), key, "left_semi").dropDuplicates(key).select(*docs.columns)

@@ -51,13 +51,31 @@ def test_stage_keeps_one_of_each_group_at_080(spark):
     assert sorted(r["doc_id"] for r in got) == sorted(set(root))
 
 
-def test_every_pair_of_a_bucket_is_looked_at(spark, monkeypatch):
-    sig = bytes(2 * near_copies.BANDS * near_copies.ROWS)
-    rows = [(1, n, 10 if n < 3 else n, 5, sig) for n in range(6)] + [(2, n, 10, 5, sig) for n in range(3)]
+def test_groups_hand_on_a_forest_of_all_links(spark, monkeypatch):
+    """Nodes of groups, some in one component already, against brute force; whatever the blocks."""
+    texts = variants(7)[:60]
+    made = [near_copies.sketch(near_copies.shingles(t)) for t in texts]
+    sets = [near_copies.shingles(t) for t in texts]
+    known = {n: min(n, made[k - k % 5][0]) if k % 5 < 2 else n for k, (n, _, _) in enumerate(made)}  # some pairs are linked already
+    rows = [(int(v), band, known[n], n, len(s), sig, bands.tolist(), s.tobytes()) for (n, bands, sig), s in zip(made, sets, strict=True) for band, v in enumerate(bands)]
+    df = spark.createDataFrame(rows, "v long, band int, root long, node long, size long, sig binary, bands array<long>, set binary")
+    want = {n: n for n, _, _ in made}
+
+    def join(links, root):
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    agree = [(a, b) for a in range(60) for b in range(a) if (made[a][1] == made[b][1]).any()]
+    near = [(made[a][0], made[b][0]) for a, b in agree if near_copies.near(sets[a], sets[b])]
+    old = [(n, known[n]) for n in known if known[n] != n]
+    join(near + old, want)
+    assert near and len(set(want.values())) < len(want)
     for block in (2048, 2):
         monkeypatch.setattr(near_copies, "BLOCK", block)
-        got = near_copies.across(spark.createDataFrame(rows, "v long, node long, root long, size long, sig binary")).collect()
-        assert {(r["a"], r["b"]) for r in got} == {(a, b) for b in range(6) for a in range(b) if b >= 3}
+        got = [(r["a"], r["b"]) for r in near_copies.across(df).collect()]
+        assert join(got + old, {n: n for n in want}) == want and len(got) < len(near)
 
 
 def test_null_and_repeated_ids_lose_no_text(spark):
