@@ -32,7 +32,7 @@ from erspark.llm.common import empty_texts, materialize, read_table
 Q = 32
 #: Bytes of contexts that one round of refinement takes in; a bucket is never divided by it.
 BATCH = 1_000_000
-#: Different contexts of one q-gram that are refined in one task. The windows of a larger bucket are dealt one by one.
+#: Different contexts of one q-gram that are refined in one task. The windows of a larger bucket are divided first.
 HOT = 2_000
 #: Anchors in one batch of rows.
 ROWS = 50_000
@@ -185,51 +185,79 @@ RUNS = "array<struct<first:long,last:long>>"
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _refined(bodies: DataFrame, width: int) -> DataFrame:
-    """h, ctx, runs: the windows that contexts of one q-gram share, by refinement of whole buckets."""
-    dealt = bodies.repartition("h").sortWithinPartitions("h")
+def _refined(bodies: DataFrame, width: int, by: str = "h") -> DataFrame:
+    """h, ctx, runs: the windows that contexts of one bucket (column ``by``) share, by refinement of whole buckets."""
+    dealt = bodies.select(F.col(by).alias("bucket"), "h", "ctx", "body").repartition("bucket").sortWithinPartitions("bucket")
+    # Buckets of different q-grams have no window in common; a context may be in several of its smaller buckets.
+    most = BATCH if by == "h" else 0
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
         size = 0
 
         def done() -> pa.RecordBatch:
-            runs = repeated([x[2] for x in held], width)
-            rows = [(x[0], x[1], [{"first": a, "last": e} for a, e in r]) for x, r in zip(held, runs, strict=True) if r]
+            runs = repeated([x[3] for x in held], width)
+            rows = [(x[1], x[2], [{"first": a, "last": e} for a, e in r]) for x, r in zip(held, runs, strict=True) if r]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], _RUNS)], ["h", "ctx", "runs"])
 
         for b in batches:
-            for h, ctx, body in zip(*b.columns, strict=True):
-                row = (h.as_py(), ctx.as_py(), body.as_py())
-                if size >= BATCH and held and held[-1][0] != row[0]:
+            for row in zip(*b.columns, strict=True):
+                row = tuple(x.as_py() for x in row)
+                if size >= most and held and held[-1][0] != row[0]:
                     yield done()
                     size = 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
         if held:
             yield done()
 
     return dealt.mapInArrow(sort, f"h long, ctx long, runs {RUNS}")
 
 
-def _windows(bodies: DataFrame, width: int) -> DataFrame:
-    """h, ctx, runs like ``_refined``, for buckets that no task should hold: every window goes its own way.
+def halves(body: bytes, low: int, high: int, width: int) -> list[tuple]:
+    """A context's windows with ``low`` to ``high`` bytes before their minimiser, as two halves of that range: low, high, narrow
+    (hash of what windows of the range have in common), full (hash of all that they cover), first and last window start."""
+    place = int((qgram_hashes(np.frombuffer(body, np.uint8, width)) >> np.uint64(24)).argmin())
+    middle, out = (low + high) // 2, []
+    for a, b in dict.fromkeys(((low, middle), (min(middle + 1, high), high))):
+        most, least = min(b, place), max(a, place - (len(body) - width))
+        if least <= most:
+            narrow = xxhash.xxh3_128_digest(b"%d %d " % (a, b) + body[max(0, place - a) : place + width - b], 1)
+            full = xxhash.xxh3_128_digest(b"%d %d " % (least, most) + body[place - most : place + width - least], 2)
+            out.append((a, b, narrow, full, place - most, place - least))
+    return out
+
 
-    A window is known by 128 bits of hash. Windows are counted inside each task before the shuffle, the join back to them
-    is one whose hot side Spark splits, and a context gets at most ``width`` windows back.
+def _divided(bodies: DataFrame, width: int, hot: int) -> DataFrame:
+    """h, ctx, runs like ``_refined``, for buckets that no task should hold.
+
+    The windows of a bucket are halved again and again by how many bytes they have before the minimiser. Windows of one half
+    that are equal have their common middle part in common: it names a smaller bucket. Contexts that are equal over all of a
+    half repeat there as a whole, and one of them stands for all; buckets that have become small are refined. So a context
+    costs about two rows for each halving, and only as long as its bucket stays hot.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = [(h, c, i, xxhash.xxh3_128_digest(body[i : i + width])) for h, c, body in zip(*(x.slice(at, 256).to_pylist() for x in b.columns), strict=True) for i in range(len(body) - width + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["h", "ctx", "at", "w"])
-
-    every = materialize(bodies.mapInArrow(cut, "h long, ctx long, at long, w binary"), "windows")
-    again = materialize(every.groupBy("w").count().where("count > 1").select("w"), "again")
-    hits = every.join(again, "w", "left_semi").select("h", "ctx", "at").distinct()
-    return hits.groupBy("h", "ctx").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("runs"))
+            rows = []
+            for h, ctx, body, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(h, ctx, body, *half) for half in halves(body, low, high, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["h", "ctx", "body", "low", "high", "narrow", "full", "first", "last"])
+
+    level = bodies.select("h", "ctx", "body", F.lit(0).alias("low"), F.lit(width - Q).alias("high"))
+    parts = None
+    while parts is None or not level.isEmpty():
+        rows = materialize(level.mapInArrow(split, "h long, ctx long, body binary, low int, high int, narrow binary, full binary, first long, last long"), "halves")
+        classes = rows.groupBy("narrow", "full").agg(F.count("*").alias("n"), F.min(F.struct("h", "ctx")).alias("one"))
+        sizes = classes.groupBy("narrow").agg(F.count("*").alias("classes"))
+        judged = materialize(rows.join(classes, ["narrow", "full"]).join(sizes, "narrow"), "judged")
+        left = judged.where((F.col("classes") > 1) & (F.struct("h", "ctx") == F.col("one")))
+        found = judged.where("n > 1").select("h", "ctx", F.array(F.struct("first", "last")).alias("runs")).unionByName(_refined(left.where(F.col("classes") <= hot), width, "narrow"))
+        parts = found if parts is None else parts.unionByName(found)
+        level = left.where(F.col("classes") > hot).select("h", "ctx", "body", "low", "high")
+    return parts.groupBy("h", "ctx").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def repeated_runs(texts: DataFrame, width: int = 200, hot: int = HOT) -> DataFrame:
@@ -237,7 +265,7 @@ def repeated_runs(texts: DataFrame, width: int = 200, hot: int = HOT) -> DataFra
 
     Anchors are summed up by bucket and by context inside each task before any shuffle, so a passage in a third of all texts
     sends one row from each task; joins back to the anchors are ones that Spark may split. A q-gram with more than ``hot``
-    different contexts is not sorted in one task: its windows are dealt one by one.
+    different contexts is not sorted in one task: its windows are divided first.
     """
     found = materialize(_find_anchors(texts, width), "anchors")
     buckets = found.groupBy("h").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
@@ -268,7 +296,7 @@ def repeated_runs(texts: DataFrame, width: int = 200, hot: int = HOT) -> DataFra
         parts = _refined(bodies, width)
     else:
         bodies = materialize(bodies, "bodies")
-        parts = _refined(bodies.join(large, "h", "left_anti"), width).unionByName(_windows(bodies.join(large, "h", "left_semi"), width))
+        parts = _refined(bodies.join(large, "h", "left_anti"), width).unionByName(_divided(bodies.join(large, "h", "left_semi"), width, hot))
     multiple = kinds.where("n > 1").select("h", "ctx", F.lit(True).alias("again"))
     # What the edges of copies share, at every place where such a context stands.
     shared = materialize(parts.join(multiple, ["h", "ctx"], "full"), "shared")
