@@ -150,7 +150,7 @@ def test_pages_query(spark, tmp_path):
 
 def test_pipeline_keeps_and_drops(spark, corpus):
     import corpus_pipeline
-    from tests.llm.test_contracts import simhash
+    from tests.llm.test_near_copies import groups
 
     folder, rows = corpus
     extra = {"hits": "x", "findings": "y", "fp": "z", "row": "w", "blob_id": "v"}
@@ -163,14 +163,9 @@ def test_pipeline_keeps_and_drops(spark, corpus):
         docs = common.materialize(stage(spark, docs, folder), name)
         ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
         if name == "simhash_dedup":
-            fps = {i: simhash(texts[i]) for i in alive}
-            root = {i: i for i in alive}
-            for _ in alive:
-                for a in alive:
-                    for b in alive:
-                        if (fps[a] ^ fps[b]).bit_count() <= 4:
-                            root[a] = root[b] = min(root[a], root[b])
-            alive = {i for i in alive if root[i] == i}
+            order = sorted(alive)
+            root = groups([texts[i] for i in order])
+            alive = {i for n, i in enumerate(order) if root[n] == n}
         if name == "decontaminate":
             alive = {i for i in alive if "named here is known" not in texts[i].lower()}
         assert set(ids) == alive and (name == "language_id" or len(ids) == len(alive)), name
