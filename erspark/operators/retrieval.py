@@ -19,6 +19,20 @@ def ranked(pairs: DataFrame, per: list[str], k: int, score: str = "score", tie:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
+# The exact keys, and those whose candidates are ranked by address; the others are ranked by name.
+EXACT_KINDS = ("exact_name", "exact_sorted_city", "exact_postcode", "exact_house_city")
+BY_ADDRESS = ("exact_name", "exact_sorted_city")
+
+
+def exact_key_value(kind: str) -> Column:
+    """The key of a record (columns country, name_core, name_sorted, city, postcode, house), empty if a part is missing."""
+    c, name, sort, city, code, house = (F.col(x) for x in ("country", "name_core", "name_sorted", "city", "postcode", "house"))
+    first = F.split_part(name, F.lit(" "), F.lit(1))
+    parts = {"exact_name": (F.length(name) >= 3, [name]), "exact_sorted_city": ((sort != "") & (city != ""), [city, sort]), "exact_postcode": ((code != "") & (first != ""), [code, first]), "exact_house_city": ((house != "") & (city != ""), [city, house])}
+    ok, own = parts[kind]
+    return F.when(ok, F.concat_ws("|", c, *own)).otherwise(F.lit(""))
+
+
 def exact_key(queries: DataFrame, pool: DataFrame, key: str, k: int = 5, most_pool: int = 200, most_pairs: int = 20_000, score: Column | None = None) -> DataFrame:
     """Equi-join on a derived key with a guard against oversized blocks; ranked per query and pool source.
 
@@ -31,7 +45,7 @@ def exact_key(queries: DataFrame, pool: DataFrame, key: str, k: int = 5, most_po
     fine = sizes.where((F.col("np") <= most_pool) & (F.col("nq") * F.col("np") <= most_pairs)).select(key)
     q = queries.join(fine, key, "left_semi").select(key, F.col("id").alias("s1"), F.col("addr").alias("qa"))
     p = pool.join(fine, key, "left_semi").select(key, F.col("id").alias("pool"), "pool_source", F.col("addr").alias("pa"))
-    pairs = q.join(p, key).withColumn("score", F.round(similarity.token_set_ratio("qa", "pa") if score is None else score, 6))
+    pairs = q.join(p, key).withColumn("score", F.round(similarity.token_set_ratio("qa", "pa") / 100 if score is None else score, 6))
     return ranked(pairs.select("s1", "pool", "pool_source", "score"), ["s1", "pool_source"], k)
 
 
@@ -49,7 +63,7 @@ def block_stats(queries: DataFrame, pool: DataFrame, key: str, most_pool: int =
     )
 
 
-def dense(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block: int = 4096) -> DataFrame:
+def dense(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block: int = 4096, per: list[str] | None = None) -> DataFrame:
     """Exact k nearest by inner product inside each bucket: blocks of matrix products, then a merge of their best.
 
     Both sides have id, vec and the bucket's columns. Pool rows are dealt to hash blocks of about ``block`` rows by the
@@ -65,19 +79,21 @@ def dense(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block:
     q = q.join(sizes, bucket).select(*bucket, F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("j"), "id", "vec")
     p = p.join(sizes, bucket).select(*bucket, F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("i"), F.col("mine").alias("j"), "id", "vec")
 
+    more = [c for c in per or () if c != "s1"]  # bucket columns that lists are kept apart by
+
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"s1": pd.Series(dtype="int64"), "pool": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"s1": pd.Series(dtype="int64"), "pool": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), **{c: pd.Series(dtype="object") for c in more}})
         b = b.sort_values("p_id", kind="stable")
         scores = np.round(np.stack(a["q_vec"]).astype(np.float64) @ np.stack(b["p_vec"]).astype(np.float64).T, 6)
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(a)), top.shape[1])
-        return pd.DataFrame({"s1": a["q_id"].to_numpy()[rows], "pool": b["p_id"].to_numpy()[top.ravel()], "score": scores[rows, top.ravel()]})
+        return pd.DataFrame({"s1": a["q_id"].to_numpy()[rows], "pool": b["p_id"].to_numpy()[top.ravel()], "score": scores[rows, top.ravel()], **{c: a[f"q_{c}"].iloc[0] for c in more}})
 
     keys = [*bucket, "i", "j"]
     q, p = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side, df in (("q", q), ("p", p)))
-    pairs = q.groupBy(*[f"q_{c}" for c in keys]).cogroup(p.groupBy(*[f"p_{c}" for c in keys])).applyInPandas(best, "s1 long, pool long, score double")
-    return ranked(pairs, ["s1"], k)
+    pairs = q.groupBy(*[f"q_{c}" for c in keys]).cogroup(p.groupBy(*[f"p_{c}" for c in keys])).applyInPandas(best, "s1 long, pool long, score double" + "".join(f", {c} {queries.schema[c].dataType.simpleString()}" for c in more))
+    return ranked(pairs, ["s1", *more], k)
 
 
 def dense_reverse(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block: int = 4096) -> DataFrame:

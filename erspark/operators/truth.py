@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from erspark.functions.hashing import uniform
@@ -46,8 +50,8 @@ def training_sample(s1: DataFrame, pool: DataFrame, pairs: DataFrame, share: flo
 def mixed_sample(pairs: DataFrame, key: str, negatives: int, replay: int, salt: int = 5) -> DataFrame:
     """All positives, so many negatives, and so many pairs of the band again, each picked by hash."""
     df = pairs.withColumn("_u", uniform(F.col(key), salt))
-    neg = df.where("y = 0").orderBy("_u", key).limit(negatives)
-    again = df.where(F.col("p").between(0.05, 0.95)).orderBy(F.desc("_u"), key).limit(replay)
+    neg = df.where("y = 0").orderBy("_u", *pairs.columns).limit(negatives)
+    again = df.where(F.col("p").between(0.05, 0.95)).orderBy(F.desc("_u"), *pairs.columns).limit(replay)
     return df.where("y = 1").unionByName(neg).unionByName(again).drop("_u")
 
 
@@ -76,3 +80,42 @@ def country_invariant(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataF
 def orphans(s1: DataFrame, pool: DataFrame) -> DataFrame:
     """Queries whose country has no pool record."""
     return s1.join(pool.select("country").distinct(), "country", "left_anti")
+
+
+def split_half(ids: Column, salt: str, share: float = 0.25) -> Column:
+    """1 for the entities that a second model is fitted on, 0 for those that it is reported on: id times an odd constant plus
+    the first eight bytes of the salt's SHA-256, modulo 2**64, as a uniform number."""
+    start = np.frombuffer(hashlib.sha256(salt.encode()).digest()[:8], np.uint64)[0]
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            z = x.to_numpy("int64").view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start
+        return pd.Series(((z >> np.uint64(11)).astype(np.float64) / 2.0**53 < share).astype("int32"))
+
+    return run(ids)
+
+
+def fit_texts(records: DataFrame, split: str, source: str, key: str, total: int, salt: int = 17) -> DataFrame:
+    """Rows to fit a vocabulary on: half of ``total`` from each of two splits, an equal share of that from each source, fewer
+    where a source has fewer. Picked by hash, so a run picks the same."""
+    sources = records.select(split, source).distinct().groupBy(split).agg(F.count("*").alias("_n"))
+    splits = sources.count()
+    order = Window.partitionBy(split, source).orderBy(uniform(F.col(key), salt), key)
+    ranked = records.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= total // max(1, splits))
+    return ranked.join(F.broadcast(sources), split).where(F.col("_r") <= F.floor(F.lit(total // max(1, splits)) / F.col("_n"))).drop("_r", "_n")
+
+
+def leakage(pairs: DataFrame, fold: str = "fold") -> DataFrame:
+    """what, n: entities in several folds, held-out entities among those trained on, and matched pool records that folds share."""
+    by = pairs.groupBy("s1").agg(F.count_distinct(fold).alias("folds"), F.min(fold).alias("low"), F.max(fold).alias("high"))
+    checks = [
+        ("entities in several folds", by.where("folds > 1")),
+        ("holdout entities in training", by.where("low < 0 and high >= 0")),
+        ("positives shared by folds", leaks(pairs, fold)),
+    ]
+    out = None
+    for what, bad in checks:
+        row = bad.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

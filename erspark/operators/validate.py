@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,3 +79,11 @@ def audit_score(labelled: DataFrame) -> DataFrame:
     """Precision and recall of predictions against hand labels ``is_match``."""
     t = labelled.where("is_match is not null").agg(F.sum(F.col("predicted") * F.col("is_match")).alias("tp"), F.sum("predicted").alias("n_pred"), F.sum("is_match").alias("n_true"))
     return t.select(F.round(F.try_divide("tp", "n_pred"), 9).alias("precision"), F.round(F.try_divide("tp", "n_true"), 9).alias("recall"))
+
+
+def official(script: str, paths: list[str], timeout: int = 3600) -> tuple[bool, str] | None:
+    """Whether an external validator accepts the files, and what it said; None if there is none on the driver."""
+    if not Path(script).is_file():
+        return None
+    done = subprocess.run([sys.executable, script, *paths], capture_output=True, text=True, timeout=timeout)
+    return done.returncode == 0, done.stdout + done.stderr

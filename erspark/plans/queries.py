@@ -107,30 +107,6 @@ def house_number(spark, sf):
     return df.select("id", geo.house_number(F.col("addr"), F.col("code")).alias("house"))
 
 
-@query("country_canon", "SELECT n_nationkey AS id, CASE lower(n_name) WHEN 'india' THEN 'India' WHEN 'france' THEN 'France' WHEN 'united states' THEN 'US' ELSE array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') END AS country FROM nation")
-def country_canon(spark, sf):
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), geo.country(F.col("n_name")).alias("country"))
-
-
-REGION_VALUES = "reg(country, spelling, region) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in tables.region_rows()) + ")"
-
-
-@query("region_canon", f"WITH {REGION_VALUES} SELECT c_custkey AS id, coalesce(region, '') AS region FROM customer LEFT JOIN reg ON reg.country = CASE WHEN c_custkey % 2 = 0 THEN 'US' ELSE 'India' END AND reg.spelling = CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'ny' WHEN 1 THEN 'wb' WHEN 2 THEN 'texas' ELSE 'zz' END")
-def region_canon(spark, sf):
-    k = F.col("c_custkey")
-    df = table(spark, sf, "customer").select(k.alias("id"), F.when(k % 2 == 0, "US").otherwise("India").alias("country"), F.when(k % 4 == 0, "ny").when(k % 4 == 1, "wb").when(k % 4 == 2, "texas").otherwise("zz").alias("spelling"))
-    return df.join(F.broadcast(geo.region_table(spark)), ["country", "spelling"], "left").select("id", F.coalesce("region", F.lit("")).alias("region"))
-
-
-def region_extract(spark, sf):
-    k = F.col("c_custkey")
-    df = table(spark, sf, "customer").select(k.alias("id"), F.when(k % 2 == 0, "US").otherwise("India").alias("country"), F.when(k % 4 == 0, "12 park st, New York, ny").when(k % 4 == 1, "mg road, kolkata, WB").when(k % 4 == 2, "5 west virginia ave").otherwise("nowhere").alias("addr"))
-    return geo.region(df, "id", "addr", "country", geo.region_table(spark))
-
-
-query("region_extract", "SELECT c_custkey AS id, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'new york' WHEN 1 THEN 'west bengal' WHEN 2 THEN 'west virginia' ELSE '' END AS region FROM customer")(region_extract)
-
-
 @query("hash_u01")
 def hash_u01(spark, sf):
     return rec(spark, sf).select("id", hashing.uniform(F.col("id"), 1).alias("u"))
@@ -248,8 +224,6 @@ def join_dense_global(spark, sf):
     return long_rank(retrieval.dense(q.withColumn("all", F.lit(0)), p.withColumn("all", F.lit(0)), 5, ["all"]))
 
 
-QUERIES["join_blocked_cosine"], ORACLES["join_blocked_cosine"] = join_dense_topk, ORACLES["join_dense_topk"]
-QUERIES["join_partitioned"], ORACLES["join_partitioned"] = join_dense_topk, ORACLES["join_dense_topk"]
 
 
 # ---- keyed joins and BM25 --------------------------------------------------------------------------------------------
@@ -340,7 +314,6 @@ def union_candidates(spark, sf):
     return united(spark, sf, 5)
 
 
-QUERIES["union_blocks"], ORACLES["union_blocks"] = union_candidates, ORACLES["union_candidates"]
 
 
 @query("union_exact_any", f"{ON_LISTS}, r AS (SELECT *, row_number() OVER (PARTITION BY s1, pool ORDER BY rank, score DESC, retriever) AS n FROM lists) SELECT retriever, s1, pool, score, rank FROM r WHERE n = 1")
@@ -412,8 +385,6 @@ def topk_running_merge(spark, sf):
     return retrieval.ranked(pair(spark, sf), ["s1"], 3, "p").select("s1", "pool", "p")
 
 
-for _k in ("topk_dense_block", "topk_sparse_rows"):
-    QUERIES[_k], ORACLES[_k] = topk_running_merge, ORACLES["topk_running_merge"]
 
 
 @query("sort_pairs", f"{ON_PAIR} SELECT s1, pool, p, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, pool) - 1 AS rank FROM pair")
@@ -431,9 +402,6 @@ def limit_sample_fraction(spark, sf):
     return truth.sampled(rec(spark, sf).select("id"), "id", 0.25, 1)
 
 
-for _k in ("sample_test", "scan_mask"):
-    QUERIES[_k] = limit_sample_fraction
-QUERIES["sample_random_n"] = limit_hash_order
 
 
 @query("ml_folds")
@@ -465,7 +433,6 @@ def truth_explode(spark, sf):
     return truth.explode(gt(spark, sf))
 
 
-QUERIES["scan_truth"], ORACLES["scan_truth"] = gt, f"WITH {GT} SELECT * FROM gt"
 
 
 @query("truth_build", f"WITH {PAIR}, {ENTITY} SELECT s1, n_true FROM entity")
@@ -628,7 +595,6 @@ def agg_nunique_fold(spark, sf):
     return truth.leaks(pair(spark, sf).withColumn("fold", F.col("s1") % 5))
 
 
-QUERIES["ml_leakage_checks"], ORACLES["ml_leakage_checks"] = agg_nunique_fold, ORACLES["agg_nunique_fold"]
 
 
 # ---- lookups, labels, sinks as tables ---------------------------------------------------------------------------------
@@ -708,7 +674,6 @@ def sink_id_lists(spark, sf):
     return ranking.id_lists(table(spark, sf, "orders").select(F.col("o_orderkey").alias("s1")), predicted(spark, sf))
 
 
-QUERIES["sink_submission"], ORACLES["sink_submission"] = sink_id_lists, ORACLES["sink_id_lists"]
 
 
 # ---- features, models, validation -------------------------------------------------------------------------------------
@@ -727,7 +692,6 @@ def ml_gbdt_train(spark, sf):
     return model.cross_validated(df, ["p", "price", "discount", "is_s3"], "y", 3, trees=3, depth=3)
 
 
-QUERIES["ml_cv_oof"] = ml_gbdt_train  # every row's probability is out of fold
 
 
 @query("ml_gbdt_predict")
@@ -749,19 +713,6 @@ def ml_second_stage(spark, sf):
     return model.second_stage(c, "y", trees=3, depth=3).select("s1", "pool", "p", "p_new")
 
 
-@query("val_submission", f"WITH {PAIR} SELECT 'x' AS error, 'x' AS id FROM pair WHERE false")
-def val_submission(spark, sf):
-    from erspark.operators import validate
-
-    order = table(spark, sf, "orders").select(F.col("o_orderkey").alias("s1"), F.col("o_orderkey").alias("row_no"))
-    best = ranking.pool_best(pair(spark, sf)).where("is_best = 1")
-    make = lambda p: ranking.id_lists(order, p)
-    return validate.submission_errors(make(best.where("p >= 0.6")), make(best), order, pair(spark, sf).select(F.col("pool").alias("id")).distinct())
-
-
-QUERIES["val_submission_stream"], ORACLES["val_submission_stream"] = val_submission, ORACLES["val_submission"]
-
-
 @query("sink_audit")
 def sink_audit(spark, sf):
     from erspark.operators import validate
@@ -799,22 +750,20 @@ def join_tfidf(spark, sf):
     return long_rank(retrieval.dense(v.where("src = 1"), v.where("src > 1"), 5, ["country"]))
 
 
-@query("agg_emb_sanity")
-def agg_emb_sanity(spark, sf):
-    v = vec(spark, sf)
-    same = v.select("label", F.col("id").alias("a"), F.col("vec").alias("av")).join(v.select("label", F.col("id").alias("b"), F.col("vec").alias("bv")), "label").where("b = a + 8 or b = a + 16")
-    other = v.select(F.col("id").alias("a"), F.col("vec").alias("av"), F.col("label").alias("la")).join(v.select(F.col("id").alias("b"), F.col("vec").alias("bv"), F.col("label").alias("lb")), F.col("b") == F.col("a") + 1).where("la <> lb")
-    cos = F.round(F.avg(similarity.cosine(F.col("av"), F.col("bv"))), 6)
-    return same.agg(cos.alias("value")).select(F.lit("same").alias("kind"), "value").unionByName(other.agg(cos.alias("value")).select(F.lit("other").alias("kind"), "value"))
+WEIGHTS = (0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0)
 
 
-@query("weight_sweep")
+@query("weight_sweep", f"""WITH {VEC}, w(w) AS (VALUES {', '.join(f'({w}::DOUBLE)' for w in WEIGHTS)}), s AS (SELECT w, a.id AS s1, b.id AS pool, CAST(a.label = b.label AS INT) AS y,
+  round(w * {DOT.format('a.vec[1:32]', 'b.vec[1:32]')} / ({NORM.format('a.vec[1:32]')} * {NORM.format('b.vec[1:32]')}) + (1 - w) * {DOT.format('a.vec[33:64]', 'b.vec[33:64]')} / ({NORM.format('a.vec[33:64]')} * {NORM.format('b.vec[33:64]')}), 6) AS score FROM vec a JOIN vec b ON a.role = 0 AND b.role > 0 AND a.country = b.country, w),
+  r AS (SELECT *, row_number() OVER (PARTITION BY w, s1 ORDER BY score DESC, pool) AS n FROM s) SELECT w, round(avg(y), 6) AS precision_at_5 FROM r WHERE n <= 5 GROUP BY w""")
 def weight_sweep(spark, sf):
-    """Recall of equal labels among the 5 nearest for each weight of the two halves, from one pair table."""
-    v = vec(spark, sf)
-    q = v.where("role = 0").select("country", F.col("id").alias("s1"), F.col("label").alias("ql"), F.col("vec").alias("qv"))
-    p = v.where("role > 0").select("country", F.col("id").alias("pool"), F.col("label").alias("pl"), F.col("vec").alias("pv"))
-    both = q.join(p, "country").select("s1", "pool", (F.col("ql") == F.col("pl")).cast("int").alias("y"), similarity.cosine(F.slice("qv", 1, 32), F.slice("pv", 1, 32)).alias("a"), similarity.cosine(F.slice("qv", 33, 32), F.slice("pv", 33, 32)).alias("b"))
-    each = both.withColumn("w", F.explode(F.array(*[F.lit(w) for w in (0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0)]))).withColumn("score", F.round(F.col("w") * F.col("a") + (1 - F.col("w")) * F.col("b"), 6))
-    top = retrieval.ranked(each, ["w", "s1"], 5)
-    return top.groupBy("w").agg(F.round(F.avg("y"), 6).alias("precision_at_5"))
+    """Share of equal labels among the 5 nearest, for each weight of the two halves: a blocked join of combined vectors each."""
+    v, out = vec(spark, sf), None
+    for w in WEIGHTS:
+        both = vectors.combined(vectors.unit(F.slice("vec", 1, 32)), vectors.unit(F.slice("vec", 33, 32)), w)
+        c = v.select("id", "role", "country", both.alias("vec"))
+        top = retrieval.dense(c.where("role = 0"), c.where("role > 0"), 5, ["country"]).select("s1", "pool", F.lit(w).alias("w"))
+        out = top if out is None else out.unionByName(top)
+    label = v.select("id", "label")
+    y = out.join(label.select(F.col("id").alias("s1"), F.col("label").alias("a")), "s1").join(label.select(F.col("id").alias("pool"), F.col("label").alias("b")), "pool")
+    return y.groupBy("w").agg(F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("precision_at_5"))

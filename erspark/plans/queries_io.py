@@ -71,7 +71,6 @@ def scan_vec_store(spark, sf):
     return scans.vector_store(spark, path, 64).agg(F.count("*").alias("n"))
 
 
-QUERIES["sink_emb_cache"], ORACLES["sink_emb_cache"] = sink_vec_store, ORACLES["sink_vec_store"]
 
 
 @query("scan_vec_complete", "SELECT 3 AS chunk UNION ALL SELECT 4")
@@ -105,7 +104,6 @@ def sink_report(spark, sf):
     return spark.createDataFrame([(back["precision"], back["recall"], back["f05"])], "precision double, recall double, f05 double")
 
 
-QUERIES["sink_json"] = sink_report
 
 
 @query("sink_metrics_log", "SELECT 2 AS lines")

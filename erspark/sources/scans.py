@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from erspark.functions.hashing import encode_id, fingerprint
@@ -57,7 +60,7 @@ def checked_tsv(spark: SparkSession, path: str, schema: str = RECORD) -> DataFra
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    return read_tsv(spark, path, TRUTH)
+    return checked_tsv(spark, path, TRUTH)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
@@ -128,3 +131,50 @@ def vectors_agree(vectors: DataFrame, names: DataFrame, least: float = 0.999) ->
     both = j.join(first, "name").where(F.col("id") != F.col("fid"))
     cos = F.aggregate(F.zip_with("vec", "first", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return both.agg(F.count("*").alias("pairs"), F.round(F.avg((cos > least).cast("double")), 9).alias("share"))
+
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df``, read from files, with ``line``: its row's place over all files, in the order of their names.
+
+    Rows are numbered inside each file; the sizes of files, a number for each, are added up on the driver.
+    """
+    own = df.columns
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    sizes = {r["_file"]: r["count"] for r in df.groupBy("_file").count().collect()}
+    begins, total = {}, 0
+    for f in sorted(sizes):
+        begins[f], total = total, total + sizes[f]
+    place = F.row_number().over(Window.partitionBy("_file").orderBy("_block", "_at")) - 1
+    starts = F.create_map(*[F.lit(x) for kv in begins.items() for x in kv]) if begins else F.create_map().cast("map<string,int>")
+    return df.withColumn("line", (F.element_at(starts, F.col("_file")) + place).cast("long")).select(*own, "line")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a submission with ``line``, counted from 0 without headers; empty lists are null."""
+    return _numbered(spark.read.csv(path, sep="\t", header=True, quote="")).na.fill("")
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``line``, its rows' places in the order of ``key``."""
+    from erspark.sources.workspace import fresh
+
+    path = fresh(df.sparkSession, "numbered")
+    df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+    return _numbered(df.sparkSession.read.parquet(path))
+
+
+def npy_sums(spark: SparkSession, path: str) -> DataFrame:
+    """chunk, n, total of arrays that ``sinks.npy_chunks`` wrote."""
+
+    def run(batches):
+        for b in batches:
+            arrays = [np.load(io.BytesIO(x), allow_pickle=False) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(a) for a in arrays], pa.int64()), pa.array([float(a.astype(np.float64).sum()) for a in arrays], pa.float64())], ["chunk", "n", "total"])
+
+    return spark.read.parquet(path).select("chunk", "npy").mapInArrow(run, "chunk long, n long, total double")
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha256 of every data file in a folder, read where the files are."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

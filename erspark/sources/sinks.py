@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +77,15 @@ def submission(lists: DataFrame, path: str, column: str) -> None:
 def log_metric(spark: SparkSession, path: str, row: dict) -> None:
     """One line in a folder of JSON lines."""
     spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def npy_chunks(vectors: DataFrame, path: str) -> None:
+    """Each chunk (columns chunk, row_no, vec) as one array in the ``.npy`` format, in the order of row_no."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_no")
+        held = io.BytesIO()
+        np.save(held, np.array(table["vec"].to_pylist(), np.float32), allow_pickle=False)
+        return pa.Table.from_arrays([table["chunk"].slice(0, 1), pa.array([held.getvalue()], pa.binary())], ["chunk", "npy"])
+
+    vectors.select("chunk", "row_no", "vec").groupBy("chunk").applyInArrow(run, "chunk long, npy binary").write.parquet(path)
