@@ -75,12 +75,22 @@ def count_stats(per_entity: DataFrame, column: str) -> DataFrame:
     return per_entity.agg(F.round(F.avg(column), 9).alias("mean"), F.percentile(column, F.lit(0.5)).alias("p50"), F.percentile(column, F.lit(0.95)).alias("p95"), F.max(column).alias("max"), F.round(F.avg((F.col(column) == 0).cast("double")), 9).alias("zero_share"))
 
 
-def auc(scored: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
-    """Area under the ROC curve from counts by score; ties count half. The window runs over scores to six places, a million at most, not over rows."""
-    by = scored.groupBy(F.round(score, 6).alias(score)).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    total = by.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("below", below).agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.lit(max(1, (total["p"] or 0) * (total["n"] or 0))), 9).alias("auc"))
+def auc(scored: DataFrame, score: str = "p", label: str = "y", slots: int = 4096) -> DataFrame:
+    """Area under the ROC curve; ties count half.
+
+    Ranks are summed on two levels: scores fall into ``slots`` equal ranges, whose totals one small window adds up, and a window
+    inside each slot adds up its own scores. No window runs over all of them, and scores stay as they are.
+    """
+    ends = scored.agg(F.min(score).alias("low"), F.max(score).alias("high"))
+    by = scored.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg")).crossJoin(F.broadcast(ends))
+    slot = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("s") - F.col("low")) / (F.col("high") - F.col("low")) * slots), F.lit(slots - 1))).otherwise(F.lit(0))
+    by = by.select("s", "pos", "neg", slot.cast("int").alias("slot"))
+    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # over the slots
+    totals = by.groupBy("slot").agg(F.sum("neg").alias("n")).select("slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("slot").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("base") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
+    ranked = by.join(F.broadcast(totals), "slot").withColumn("below", below)
+    return ranked.agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.greatest(F.sum("pos") * F.sum("neg"), F.lit(1)), 9).alias("auc"))
 
 
 def cross_country(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:

@@ -63,12 +63,13 @@ def block_stats(queries: DataFrame, pool: DataFrame, key: str, most_pool: int =
     )
 
 
-def dense(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block: int = 4096, per: list[str] | None = None) -> DataFrame:
+def dense(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block: int = 16_384, per: list[str] | None = None) -> DataFrame:
     """Exact k nearest by inner product inside each bucket: blocks of matrix products, then a merge of their best.
 
     Both sides have id, vec and the bucket's columns. Pool rows are dealt to hash blocks of about ``block`` rows by the
     size of their bucket, query rows likewise, and a task multiplies one query block with one pool block, so no task holds
-    a bucket. It keeps k of each query from each pool block; a window merges those.
+    a bucket; a vector travels once for each block of the other side. It keeps k of each query from each pool block, a slice
+    of queries at a time; a window merges those.
     """
     def blocked(df: DataFrame) -> DataFrame:
         n = df.groupBy(*bucket).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -85,10 +86,14 @@ def dense(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block:
         if not len(a) or not len(b):
             return pd.DataFrame({"s1": pd.Series(dtype="int64"), "pool": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), **{c: pd.Series(dtype="object") for c in more}})
         b = b.sort_values("p_id", kind="stable")
-        scores = np.round(np.stack(a["q_vec"]).astype(np.float64) @ np.stack(b["p_vec"]).astype(np.float64).T, 6)
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), top.shape[1])
-        return pd.DataFrame({"s1": a["q_id"].to_numpy()[rows], "pool": b["p_id"].to_numpy()[top.ravel()], "score": scores[rows, top.ravel()], **{c: a[f"q_{c}"].iloc[0] for c in more}})
+        right, parts = np.stack(b["p_vec"]).astype(np.float64).T, []
+        for at in range(0, len(a), 1024):
+            scores = np.round(np.stack(a["q_vec"].iloc[at : at + 1024]).astype(np.float64) @ right, 6)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(top)), top.shape[1])
+            parts.append((a["q_id"].to_numpy()[at + rows], b["p_id"].to_numpy()[top.ravel()], scores[rows, top.ravel()]))
+        s1, found, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame({"s1": s1, "pool": found, "score": score, **{c: a[f"q_{c}"].iloc[0] for c in more}})
 
     keys = [*bucket, "i", "j"]
     q, p = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side, df in (("q", q), ("p", p)))
@@ -96,19 +101,23 @@ def dense(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block:
     return ranked(pairs, ["s1", *more], k)
 
 
-def dense_reverse(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block: int = 4096) -> DataFrame:
+def dense_reverse(queries: DataFrame, pool: DataFrame, k: int, bucket: list[str], block: int = 16_384) -> DataFrame:
     """Each pool record's k nearest queries, oriented (s1, pool); ``rank`` is the pool's view of them."""
     return dense(pool, queries, k, bucket, block).select(F.col("pool").alias("s1"), F.col("s1").alias("pool"), "score", "rank")
 
 
 def term_table(records: DataFrame, fields: dict[str, str], keep: list[str]) -> DataFrame:
     """id, *keep, dl, token, tf: the tokens of each field (``fields`` maps a prefix to a column), and the record's length."""
-    find = lambda c: F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 2)
-    every = F.concat(*[F.transform(find(c), _prefixer(f)) for f, c in fields.items()])
-    df = records.select("id", *keep, every.alias("tokens")).withColumn("dl", F.size("tokens"))
+    df = records.select("id", *keep, _tokens(fields).alias("tokens")).withColumn("dl", F.size("tokens"))
     return df.select("id", *keep, "dl", F.explode("tokens").alias("token")).groupBy("id", *keep, "dl", "token").agg(F.count("*").alias("tf"))
 
 
+def _tokens(fields: dict[str, str]) -> Column:
+    """The tokens of all fields, each with its field's prefix."""
+    find = lambda c: F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 2)
+    return F.concat(*[F.transform(find(c), _prefixer(f)) for f, c in fields.items()])
+
+
 def _prefixer(field: str):
     return lambda t: F.concat(F.lit(field + ":"), t)
 
@@ -120,7 +129,7 @@ def bm25(queries: DataFrame, pool: DataFrame, k: int, fields: dict[str, str], we
     what one token can match. One shuffle on (bucket, token), one on the pair, one on the query.
     """
     docs = term_table(pool, fields, bucket)
-    lengths = pool.join(docs.select("id", "dl").distinct(), "id", "left").groupBy(*bucket).agg(F.count("*").alias("n"), (F.sum(F.coalesce("dl", F.lit(0))) / F.count("*")).alias("avgdl"))
+    lengths = pool.groupBy(*bucket).agg(F.count("*").alias("n"), (F.sum(F.size(_tokens(fields))) / F.count("*")).alias("avgdl"))
     df = docs.groupBy(*bucket, "token").agg(F.count("*").alias("df")).join(lengths, bucket)
     df = df.where(F.col("df") <= F.greatest(F.lit(prune_floor), F.col("n") * prune_share)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

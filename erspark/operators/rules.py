@@ -69,19 +69,25 @@ def band(pairs: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
 def scores(pairs: DataFrame, truth_counts: DataFrame, thresholds: list[float], exclusive: bool) -> DataFrame:
     """threshold, f05: macro F0.5 of a global rule at every threshold, in one pass over the pairs.
 
-    Pairs are counted by entity and by the highest threshold that they pass; a running sum over that grid, as long as the
-    grid is, gives each threshold's counts. Entities without a pair at a threshold are scored from the entity table.
+    Pairs are counted by entity and by the thresholds that they pass, as a number; a running sum over an entity's few rows
+    gives its counts, and each row says from which threshold to which they hold. Sums of such ranges are sums of their ends,
+    so a pair is one row whatever the grid. Entities without a pair are scored from the entity table.
     """
-    grid = F.array(*[F.lit(t) for t in thresholds])
+    grid = sorted(thresholds)
     df = pool_best(pairs).where("is_best = 1") if exclusive else pairs
-    each = df.select("s1", "y", F.explode(F.filter(grid, lambda t: F.col("p") >= t)).alias("threshold"))
-    counts = each.groupBy("s1", "threshold").agg(F.count("*").alias("n_pred"), F.sum("y").alias("tp")).join(truth_counts, "s1")
+    passed = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: F.col("p") >= t))
+    counts = df.groupBy("s1", passed.alias("last")).agg(F.count("*").alias("n"), F.sum("y").alias("hits")).where("last > 0")
+    down = Window.partitionBy("s1").orderBy(F.desc("last"))
+    counts = counts.select("s1", "last", F.lead("last", 1, 0).over(down).alias("before"), F.sum("n").over(down).alias("n_pred"), F.sum("hits").over(down).alias("tp")).join(truth_counts, "s1")
     f = F.when(F.col("tp") > 0, 1.25 * (F.col("tp") / F.col("n_pred")) * (F.col("tp") / F.col("n_true")) / (0.25 * (F.col("tp") / F.col("n_pred")) + F.col("tp") / F.col("n_true"))).otherwise(F.lit(0.0))
-    got = counts.groupBy("threshold").agg(F.sum(f).alias("f"), F.count_if(F.col("n_true") == 0).alias("spoilt"))
-    total = truth_counts.agg(F.count("*").alias("n"), F.count_if(F.col("n_true") == 0).alias("empty")).first()
-    base = df.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
-    out = base.join(got, "threshold", "left").na.fill(0)
-    return out.select("threshold", F.round((F.col("f") + F.lit(total["empty"]) - F.col("spoilt")) / F.lit(max(1, total["n"])), 9).alias("f05"))
+    empty = (F.col("n_true") == 0).cast("long")
+    ends = F.array(F.struct((F.col("before") + 1).alias("at"), f.alias("f"), empty.alias("spoilt")), F.struct((F.col("last") + 1).alias("at"), (-f).alias("f"), (-empty).alias("spoilt")))
+    steps = counts.select(F.explode(ends).alias("e")).groupBy("e.at").agg(F.sum("e.f").alias("f"), F.sum("e.spoilt").alias("spoilt"))
+    total = truth_counts.agg(F.count("*").alias("n"), F.count_if(F.col("n_true") == 0).alias("empty"))
+    base = df.sparkSession.createDataFrame([(n, t) for n, t in enumerate(grid, 1)], "at int, threshold double")
+    up = Window.orderBy("at")  # over the grid
+    out = base.join(F.broadcast(steps), "at", "left").na.fill(0, ["f", "spoilt"]).select("threshold", F.sum("f").over(up).alias("f"), F.sum("spoilt").over(up).alias("spoilt"))
+    return out.crossJoin(total).select("threshold", F.round((F.col("f") + F.col("empty") - F.col("spoilt")) / F.greatest("n", F.lit(1)), 9).alias("f05"))
 
 
 def search(pairs: DataFrame, truth_counts: DataFrame) -> DataFrame:

@@ -26,8 +26,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def rec(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda x: x != "")
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text", w.alias("w"))
+    # A record's name and address are the first 14 words: no more of a text is split than holds them.
+    first = F.filter(F.slice(F.split(F.ltrim(F.lower("text"), F.lit(" \n")), "[ \n]+", 15), 1, 14), lambda x: x != "")
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text", first.alias("w"))
     src = (1 + F.col("doc_id") % 3).cast("int")
     return d.select(F.col("doc_id").alias("id"), src.alias("src"), F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.array_join(F.slice("w", 1, 4), " ").alias("name"), F.array_join(F.slice("w", 5, 10), " ").alias("addr"), F.col("lang").alias("country"), "text")
 
