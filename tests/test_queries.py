@@ -34,6 +34,7 @@ def test_against_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_has_values(spark, name):
+    """What SQL cannot say has rows, none of them void; values are compared in the other test files."""
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows and all(any(v is not None for v in r) for r in rows)
