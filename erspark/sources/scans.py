@@ -51,9 +51,10 @@ def read_tsv(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
 
 
 def checked_tsv(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """``read_tsv``, after a check that it parses as many rows as the file has lines below its header."""
+    """``read_tsv``, after a check that it parses as many rows as its files have lines below their headers, one in each file."""
     df = read_tsv(spark, path, schema)
-    lines, rows = spark.read.text(path).count() - 1, df.count()
+    lines = spark.read.text(path).groupBy(F.input_file_name()).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).first()["n"]
+    rows = df.count()
     if rows != lines:
         raise ValueError(f"{path}: {rows} rows from {lines} lines")
     return df

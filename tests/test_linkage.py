@@ -202,3 +202,11 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.submission(ids, f"{tmp_path}/sub", "matched_entity_ids")
     rows = [tuple(r) for r in spark.read.csv(f"{tmp_path}/sub", sep="\t", header=True, emptyValue="", nullValue="\0").collect()]
     assert sorted(rows, key=str) == [("a", "x,y"), ("b", None)] or sorted(rows) == [("a", "x,y"), ("b", "")]
+
+
+def test_every_file_of_a_folder_has_a_header(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("source1_entity_id\tmatched_entity_ids\n1\t2, 3\n")
+    (tmp_path / "b.tsv").write_text("source1_entity_id\tmatched_entity_ids\n4\t\n5\t6\n")
+    (tmp_path / "c.tsv").write_text("source1_entity_id\tmatched_entity_ids\n")
+    got = scans.read_truth(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [("1", "2, 3"), ("4", ""), ("5", "6")]
